@@ -50,7 +50,7 @@ class JoinConfig:
     threshold: int = 75  # percent
     groups: int = 32
     rows: int = 3
-    words64: int = 8  # bitmap of 512 bits
+    words64: int = 32  # bitmap of 2048 bits
     leaf: int = 32
     block: int = 2048
     seed: int = 0x5EED
@@ -177,13 +177,13 @@ class SignatureTree:
 def _alive(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, threshold: int) -> np.ndarray:
     """Which node pairs may hold a linked pair of different components."""
     out = np.empty(len(i), bool)
-    for s in range(0, len(i), 1 << 18):
-        p, q = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
+    for s in range(0, len(i), 1 << 16):
+        p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
         most = np.bitwise_count(a[0][p] & b[0][q]).sum(axis=1, dtype=np.int64) + np.minimum(a[3][p], b[3][q])
         most = np.minimum(most, np.minimum(a[2][p], b[2][q]))
         one = (a[4][p] == a[5][p]) & (b[4][q] == b[5][q]) & (a[4][p] == b[4][q])
         near = (100 * a[2][p] >= threshold * b[1][q]) & (100 * b[2][q] >= threshold * a[1][p])
-        out[s : s + (1 << 18)] = (most >= _needed(a[1][p] + b[1][q], threshold)) & near & ~one
+        out[s : s + (1 << 16)] = (most >= _needed(a[1][p] + b[1][q], threshold)) & near & ~one
     return out
 
 
