@@ -15,8 +15,8 @@ One tree over all documents would not distribute, so the forest is planted on gr
 class goes to 32 groups by the minimum hashes of its shingles (three of them make a key). A pair
 at similarity s misses all groups with probability ``(1 - s^3)^32``: 2.4e-8 at 0.75. No group is
 capped. Then
- 1. members of a group are held against the group's smallest and largest member (as many pairs
-    as records, so a group of any size is fine), pruned by signatures, verified exactly;
+ 1. members of a group are held against the group's smallest member (fewer pairs than records,
+    so a group of any size is fine), pruned by signatures, verified exactly;
  2. connected components are formed; groups that lie in one component are done;
  3. in the others, trees are built and traversed for pairs of *different* components; groups
     over ``block`` members are dealt out as pairs of blocks to separate tasks. What survives is
@@ -359,7 +359,7 @@ def linked_components(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFr
         .agg(F.lit(1).alias("_one"))
         .select("key", "digest")
     )
-    shared = records.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("members > 1")
+    shared = records.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("digest").alias("lo")).where("members > 1")
     grouped = materialize(records.join(shared, "key"), "groups")
     involved = grouped.select("digest").distinct()
     facts = materialize(
@@ -371,12 +371,7 @@ def linked_components(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFr
     sets = materialize(_sets(docs, facts, cfg), "sets")
 
     sig = facts.select("digest", "n", "bitmap", (F.col("n") - _popcount_and("bitmap", "bitmap", cfg.words64)).alias("e"))
-    pairs = (
-        grouped.select(F.col("digest").alias("x"), F.explode(F.array("lo", "hi")).alias("y"))
-        .where("x != y")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
+    pairs = grouped.where("digest != lo").select(F.col("lo").alias("a"), F.col("digest").alias("b")).distinct()
     side = lambda c: sig.select(F.col("digest").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"m_{c}"), F.col("e").alias(f"e_{c}"))
     star = pairs.join(side("a"), "a").join(side("b"), "b").where(_possible(cfg)).select("a", "b")
     first = materialize(_verified(star, sets, cfg), "links")
