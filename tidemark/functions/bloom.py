@@ -1,7 +1,9 @@
 """Bloom filters of runs: built by grouped aggregation, probed in Arrow batches.
 
 The filter stores its number of bits, so building and probing agree for every number of keys and
-there are no false negatives. Hashing is vectorised over keys of equal length."""
+there are no false negatives. Both hashes are scrambled before double hashing: taken as they are,
+numbered keys reach only some of the bits (4.9 % false positives at 10 bits a key instead of under
+1 %). Hashing is vectorised over keys of equal length."""
 
 from __future__ import annotations
 
@@ -41,9 +43,15 @@ def hash_pairs(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return one, two
 
 
+def _scramble(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
 def positions(keys: list[bytes], bits: int) -> np.ndarray:
     """Keys x HASHES bit numbers."""
-    one, two = hash_pairs(keys)
+    one, two = (_scramble(h) for h in hash_pairs(keys))
     return (one[:, None] + np.arange(HASHES, dtype=np.uint64)[None, :] * two[:, None]) % np.uint64(bits)
 
 

@@ -239,9 +239,9 @@ def encrypted_sizes(spark, sf):
 
 def _filled_store(spark, sf) -> RunStore:
     store = RunStore(spark, numbering.scratch(spark, "store"), key_type="string")
-    parts = runs(spark, sf)
-    for i in range(4):
-        store.flush(parts.where(F.col("run_id") % 4 == i))
+    rows = log(spark, sf)
+    for i in range(4):  # four flushes, in turn
+        store.flush(rows.where(F.col("seqno") % 4 == i))
     return store
 
 
