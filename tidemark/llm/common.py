@@ -68,6 +68,20 @@ def labelled_sample(
     return [(r["_text"], r["_y"]) for r in rows]
 
 
+def label_share(label: DataFrame, label_col: str, train: Column) -> float | None:
+    """Share of label 1 among all labelled rows with ``train`` true (None without such rows)."""
+    y = label.select(F.col("doc_id").alias("_id"), F.col(label_col).alias("_y")).where(F.col("_y").isin(0, 1)).where(train)
+    ones, n = y.agg(F.sum("_y"), F.count(F.lit(1))).first()
+    return ones / n if n else None
+
+
+def prior_shift(share: float | None, ones: int, zeros: int) -> float:
+    """What a logit learned on ``ones`` and ``zeros`` rows needs to hold where label 1 has ``share``."""
+    if share is None or not 0 < share < 1 or not ones or not zeros:
+        return 0.0
+    return float(np.log(share / (1 - share)) - np.log(ones / zeros))
+
+
 def text_chunks(batch: pa.RecordBatch, column: str, max_chars: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch with at most ``max_chars`` characters of text each (a longer single text
     stands alone), with the texts as strings; null becomes empty."""

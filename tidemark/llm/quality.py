@@ -1,7 +1,7 @@
 """Quality classifier with supervised subword embeddings.
 
-Features are hashed: words, pairs of neighbouring words and character n-grams of words with
-their borders. Each feature has a learned vector; a document is the average of its features'
+Features are hashed: words, pairs of neighbouring words, character n-grams of words with their
+borders, and a mark for a word that repeats the one before. Each feature has a learned vector; a document is the average of its features'
 vectors, and a softmax over two outputs gives the probability of label 1. Vectors and output
 weights are trained together by stochastic gradient descent in numpy.
 
@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, fresh, labelled_sample, sigmoid, text_chunks
+from .common import fold, fresh, label_share, labelled_sample, prior_shift, sigmoid, text_chunks
 
 _BLANK = bytes(32 if c in b" \t\n\x0b\x0c\r" else c for c in range(256))
+#: Bucket of a word that repeats the one before.
+_REPEAT = 1
 
 
 @dataclass(frozen=True)
@@ -86,13 +88,17 @@ def features(texts: list[str], cfg: QualityConfig) -> Iterator[tuple[np.ndarray,
         yield _slots(word + np.uint32(101), cfg.log2_buckets), of
         pair = np.flatnonzero(of[:-1] == of[1:])
         yield _slots(word[pair] * np.uint32(31) + word[pair + 1] + np.uint32(977), cfg.log2_buckets), of[pair]
+        # pairs of the same word, whatever the word: one feature
+        same = pair[word[pair] == word[pair + 1]]
+        yield np.full(len(same), _REPEAT, np.int32), of[same]
 
 
-def train(rows: list[tuple[str, int]], config: QualityConfig = QualityConfig()) -> QualityModel:
-    """Vectors and output weights from (text, label) rows, by stochastic gradient descent."""
+def train(rows: list[tuple[str, int]], config: QualityConfig = QualityConfig(), share: float | None = None) -> QualityModel:
+    """Vectors and output weights from (text, label) rows, by stochastic gradient descent.
+    ``share``: that of label 1 where the model is used, if the rows were chosen with another."""
     cfg, size = config, 1 << config.log2_buckets
     y = np.array([v for _, v in rows], float)
-    prior = float((y.sum() + 0.5) / (len(y) + 1))
+    prior, natural = float((y.sum() + 0.5) / (len(y) + 1)), share
     bias0 = float(np.log(prior / (1 - prior)))
     if len(set(y.tolist())) < 2:
         return QualityModel(np.zeros(size, np.float32), bias0, prior, cfg)
@@ -129,7 +135,8 @@ def train(rows: list[tuple[str, int]], config: QualityConfig = QualityConfig())
             bias -= 0.1 * lr * p
             vec[ids] -= lr * min(len(ids), 400) * share[:, None] * back[None, :]
     table = vec @ (out[:, 1] - out[:, 0])
-    return QualityModel(table.astype(np.float32), float(bias[1] - bias[0]), prior, cfg)
+    shift = prior_shift(natural, int(y.sum()), int(len(y) - y.sum()))
+    return QualityModel(table.astype(np.float32), float(bias[1] - bias[0]) + shift, prior if natural is None else natural, cfg)
 
 
 def score_texts(model: QualityModel, texts: list[str]) -> np.ndarray:
@@ -143,8 +150,9 @@ def score_texts(model: QualityModel, texts: list[str]) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> QualityModel:
     """Train on labelled rows whose id is not held out (crc32 modulo 4 is not 2); the sample is
     bounded by ``train_per_class`` rows a class and ``train_max_chars`` characters a row."""
-    rows = labelled_sample(docs, labels, "quality", fold(F.col("_id"), 4) != 2, config.train_per_class, config.train_max_chars)
-    return train(rows, config)
+    own = fold(F.col("_id"), 4) != 2
+    rows = labelled_sample(docs, labels, "quality", own, config.train_per_class, config.train_max_chars)
+    return train(rows, config, label_share(labels, "quality", own))
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", out_col: str = "quality_score") -> DataFrame:

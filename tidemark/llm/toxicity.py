@@ -3,7 +3,8 @@
 Two zstandard dictionaries are trained from labelled text, one on toxic and one on ordinary
 text. A text is cut into windows of a few words; each window is compressed with either
 dictionary, and the difference of the two lengths says which text it resembles. Calibrated
-statistics of these differences (logistic regression on the training rows) give the score.
+statistics of these differences (logistic regression on the training rows, shifted to the natural
+share of toxic rows) give the score.
 
 What goes into a dictionary is learned: fragments of words whose document frequency differs
 most between the two classes, the strongest last, where zstandard's offsets are the cheapest.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fit_logistic, fold, fresh, labelled_sample, sigmoid, text_chunks
+from .common import fit_logistic, fold, fresh, label_share, labelled_sample, prior_shift, sigmoid, text_chunks
 
 _BLANK = bytes(32 if c in b" \t\n\x0b\x0c\r" else c for c in range(256))
 
@@ -34,12 +35,13 @@ _BLANK = bytes(32 if c in b" \t\n\x0b\x0c\r" else c for c in range(256))
 @dataclass(frozen=True)
 class ToxicityConfig:
     window_words: int = 4
-    level: int = 3
+    search_log: int = 4  # of the compressor: the search's depth as a power of two
     fragments: int = 160  # fragments in each dictionary at most
     min_z: float = 6.0  # how much a fragment's frequency must differ
-    min_chars: int = 5
-    max_chars: int = 9
+    min_chars: int = 5  # bytes of a fragment
+    max_chars: int = 10
     margin: int = 2  # bytes by which a window must compress better to count
+    l2: float = 0.01  # of the calibration
     train_per_class: int = 1500  # bound of the training sample
     train_max_chars: int = 40_000
 
@@ -52,27 +54,70 @@ class ToxicityModel:
     config: ToxicityConfig
 
 
-def _fragments(text: str, lo: int, hi: int) -> set[str]:
-    out: set[str] = set()
-    for w in set(text.lower().split()):
-        w = f" {w} "
-        for n in range(lo, hi + 1):
-            out.update(w[i : i + n] for i in range(len(w) - n + 1))
-    return out
-
-
-def _pick(mine: Counter, other: Counter, n_mine: int, n_other: int, cfg: ToxicityConfig) -> list[str]:
-    """Fragments much more frequent in ``mine``, none inside another, the strongest last."""
+_SLOT_BITS = 22
+#: Stands behind every window and ends both dictionaries. So a window has one match at least, the fixed
+#: cost of a block with matches is the same on both sides, and matches are searched for up to the
+#: window's end (zstandard does not begin any in the last eight bytes).
+_TRAILER = bytes(range(128, 168))
+
+
+def _fragments(texts: list[str], cfg: ToxicityConfig) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, bytes]]:
+    """Fragments of words with one blank before and behind, for some texts at a time and for each
+    length: hash slots, text numbers, places in the buffer, length, buffer."""
+    for i in range(0, len(texts), 64):
+        parts = [f" {' '.join(x.lower().split())} ".encode() for x in texts[i : i + 64]]
+        buffer = b"".join(parts)
+        raw = np.frombuffer(buffer, np.uint8)
+        doc = np.repeat(np.arange(i, i + len(parts)), [len(p) for p in parts])
+        blank, code = raw == 32, raw.astype(np.uint32) + np.uint32(1)
+        h, inner = code.copy(), np.zeros(len(raw), bool)
+        for n in range(2, cfg.max_chars + 1):
+            h = h[:-1] * np.uint32(16777619) + code[n - 1 :]
+            inner = inner[: len(h)] | blank[n - 2 : n - 2 + len(h)] if n > 2 else np.zeros(len(h), bool)
+            if n >= cfg.min_chars:
+                at = np.flatnonzero(~inner)
+                x = (h[at] + np.uint32(n)) * np.uint32(0x9E3779B1)
+                x = (x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA77)
+                yield (x >> np.uint32(32 - _SLOT_BITS)).astype(np.int64), doc[at], at, n, buffer
+
+
+def _slot_counts(texts: list[str], cfg: ToxicityConfig) -> np.ndarray:
+    """How many of the texts have a fragment in each slot."""
+    counts = np.zeros(1 << _SLOT_BITS, np.int32)
+    for slots, doc, _, _, _ in _fragments(texts, cfg):
+        seen = np.unique(doc * (1 << _SLOT_BITS) + slots) & ((1 << _SLOT_BITS) - 1)
+        np.add.at(counts, seen, 1)
+    return counts
+
+
+def _contrast(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
+    p = (a + b) / (na + nb)
+    return (a / na - b / nb) / np.sqrt(p * (1 - p) * (1 / na + 1 / nb) + 1e-9)
+
+
+def _exact_counts(texts: list[str], wanted: np.ndarray, cfg: ToxicityConfig) -> Counter:
+    """How many of the texts have each fragment whose slot is wanted."""
+    seen: set[tuple[int, bytes]] = set()
+    for slots, doc, at, n, buffer in _fragments(texts, cfg):
+        hit = np.flatnonzero(wanted[slots])
+        seen.update((d, buffer[i : i + n]) for d, i in zip(doc[hit].tolist(), at[hit].tolist(), strict=True))
+    return Counter(g for _, g in seen)
+
+
+def _pick(mine: list[str], other: list[str], slot_mine: np.ndarray, slot_other: np.ndarray, cfg: ToxicityConfig) -> list[bytes]:
+    """Fragments much more frequent in ``mine``, none inside another, the strongest last. Slots of
+    hashes find the candidates, which are then counted exactly."""
+    z = np.where(slot_mine >= 4, _contrast(slot_mine, slot_other, len(mine), len(other)), 0)
+    wanted = z >= cfg.min_z
+    if wanted.sum() > 20_000:
+        wanted = z >= np.partition(z, -20_000)[-20_000]
+    a, b = _exact_counts(mine, wanted, cfg), _exact_counts(other, wanted, cfg)
     ranked = []
-    for g, a in mine.items():
-        if a < 4:
-            continue
-        b = other.get(g, 0)
-        p = (a + b) / (n_mine + n_other)
-        z = (a / n_mine - b / n_other) / np.sqrt(p * (1 - p) * (1 / n_mine + 1 / n_other) + 1e-9)
-        if z >= cfg.min_z:
-            ranked.append((-z, -len(g), g))
-    picked: list[str] = []
+    for g, n in a.items():
+        strength = float(_contrast(np.float64(n), np.float64(b.get(g, 0)), len(mine), len(other)))
+        if n >= 4 and strength >= cfg.min_z:
+            ranked.append((-strength, -len(g), g))
+    picked: list[bytes] = []
     for _, _, g in sorted(ranked):
         if any(g in f for f in picked):
             continue
@@ -82,11 +127,13 @@ def _pick(mine: Counter, other: Counter, n_mine: int, n_other: int, cfg: Toxicit
     return picked[::-1]
 
 
-def _compressor(content: bytes, level: int) -> zstd.ZstdCompressor:
-    params = zstd.ZstdCompressionParameters.from_level(level, write_content_size=0, write_checksum=0, write_dict_id=0)
-    if len(content) < 8:  # the library wants eight bytes
-        return zstd.ZstdCompressor(compression_params=params)
-    d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+def _compressor(content: bytes, search_log: int) -> zstd.ZstdCompressor:
+    # a binary-tree search finds matches at every place of a dictionary; faster strategies skip some
+    params = zstd.ZstdCompressionParameters(
+        window_log=12, hash_log=12, chain_log=12, search_log=search_log, min_match=5, strategy=zstd.STRATEGY_BTLAZY2,
+        write_content_size=0, write_checksum=0, write_dict_id=0,
+    )
+    d = zstd.ZstdCompressionDict(content + _TRAILER, dict_type=zstd.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=params)
     return zstd.ZstdCompressor(dict_data=d, compression_params=params)
 
@@ -113,10 +160,18 @@ def window_statistics(texts: list[str], toxic: zstd.ZstdCompressor, ordinary: zs
     rank = np.arange(len(doc)) - np.repeat(first, np.diff(np.r_[first, len(doc)]))
     head = np.flatnonzero(rank % cfg.window_words == 0)
     tail = np.r_[head[1:], len(doc)] - 1  # a window ends before the next one or with its text
+    size = stops[tail] - starts[head]
+    trailer = np.frombuffer(_TRAILER, np.uint8)
     segments = np.empty((len(head), 2), "<u8")
-    segments[:, 0] = starts[head]
-    segments[:, 1] = stops[tail] - starts[head]
-    packed = segments.tobytes()
+    segments[:, 1] = size + len(trailer)
+    segments[:, 0] = np.cumsum(segments[:, 1]) - segments[:, 1]
+    whole = np.empty(int(segments[:, 1].sum()), np.uint8)
+    at = segments[:, 0].astype(np.int64)
+    for k in range(len(trailer)):
+        whole[at + size + k] = trailer[k]
+    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    whole[np.repeat(at, size) + inner] = raw[np.repeat(starts[head], size) + inner]
+    buffer, packed = whole.tobytes(), segments.tobytes()
     gain = _lengths(ordinary, buffer, packed, len(head)) - _lengths(toxic, buffer, packed, len(head))
     d = doc[head]
     hit = gain >= cfg.margin
@@ -135,29 +190,27 @@ def _features(stats: np.ndarray) -> np.ndarray:
     ]
 
 
-def train(rows: list[tuple[str, int]], config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Dictionaries and calibration from (text, label) rows."""
+def train(rows: list[tuple[str, int]], config: ToxicityConfig = ToxicityConfig(), share: float | None = None) -> ToxicityModel:
+    """Dictionaries and calibration from (text, label) rows. ``share``: that of toxic rows where the
+    model is used, if the rows were chosen with another."""
     bad = [x for x, y in rows if y == 1]
     good = [x for x, y in rows if y == 0]
     if not bad or not good:
         share = (len(bad) + 1e-6) / (len(rows) + 2e-6) if rows else 1e-6
         return ToxicityModel(b"", b"", (0.0,) * 8 + (float(np.log(share / (1 - share))),), config)
-    counts = []
-    for side in (bad, good):
-        c: Counter = Counter()
-        for x in side:
-            c.update(_fragments(x, config.min_chars, config.max_chars))
-        counts.append(c)
-    toxic = "".join(_pick(counts[0], counts[1], len(bad), len(good), config)).encode()
-    ordinary = "".join(_pick(counts[1], counts[0], len(good), len(bad), config)).encode()
-    stats = window_statistics([x for x, _ in rows], _compressor(toxic, config.level), _compressor(ordinary, config.level), config)
-    w = fit_logistic(_features(stats), np.array([y for _, y in rows], float), l2=0.1)
+    in_bad, in_good = _slot_counts(bad, config), _slot_counts(good, config)
+    toxic = b"".join(_pick(bad, good, in_bad, in_good, config))
+    ordinary = b"".join(_pick(good, bad, in_good, in_bad, config))
+    stats = window_statistics([x for x, _ in rows], _compressor(toxic, config.search_log), _compressor(ordinary, config.search_log), config)
+    w = fit_logistic(_features(stats), np.array([y for _, y in rows], float), l2=config.l2)
+    # half-way to the natural share: missed toxic texts weigh more than flagged ordinary ones
+    w[-1] += prior_shift(share, len(bad), len(good)) / 2
     return ToxicityModel(toxic, ordinary, tuple(map(float, w)), config)
 
 
 def score_texts(model: ToxicityModel, texts: list[str]) -> np.ndarray:
     cfg = model.config
-    stats = window_statistics(texts, _compressor(model.toxic, cfg.level), _compressor(model.ordinary, cfg.level), cfg)
+    stats = window_statistics(texts, _compressor(model.toxic, cfg.search_log), _compressor(model.ordinary, cfg.search_log), cfg)
     w = np.asarray(model.weights)
     return sigmoid(_features(stats) @ w[:-1] + w[-1])
 
@@ -165,8 +218,9 @@ def score_texts(model: ToxicityModel, texts: list[str]) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """Train on labelled rows whose id is not held out (crc32 modulo 5 is not 0); the sample is
     bounded by ``train_per_class`` rows a class and ``train_max_chars`` characters a row."""
-    rows = labelled_sample(docs, labels, "toxic", fold(F.col("_id"), 5) != 0, config.train_per_class, config.train_max_chars)
-    return train(rows, config)
+    own = fold(F.col("_id"), 5) != 0
+    rows = labelled_sample(docs, labels, "toxic", own, config.train_per_class, config.train_max_chars)
+    return train(rows, config, label_share(labels, "toxic", own))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
