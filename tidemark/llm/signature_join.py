@@ -15,12 +15,13 @@ One tree over all documents would not distribute, so the forest is planted on gr
 class goes to 32 groups by the minimum hashes of its shingles (three of them make a key). A pair
 at similarity s misses all groups with probability ``(1 - s^3)^32``: 2.4e-8 at 0.75. No group is
 capped. Then
- 1. members of a group are held against the group's smallest member (fewer pairs than records,
-    so a group of any size is fine), pruned by signatures, verified exactly;
+ 1. in each group, leaders are held against all members by their signatures, and each member or
+    cluster that cannot be excluded is paired with one leader: about as many pairs as members, so a
+    group of near copies is fine at any size; these pairs are verified exactly;
  2. connected components are formed; groups that lie in one component are done;
- 3. in the others, trees are built and traversed for pairs of *different* components; groups
-    over ``block`` members are dealt out as pairs of blocks to separate tasks. What survives is
-    verified exactly and components are formed again.
+ 3. in the others, trees are built and traversed for all pairs of *different* components. What
+    survives is verified exactly and components are formed again.
+Groups over ``block`` members are dealt out as pairs of blocks to separate tasks.
 Links inside a component that add nothing to it need not be looked at; no component is missed.
 
 Null, empty and blank texts have an empty set and are linked with nothing (component: their own
@@ -36,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -234,31 +235,45 @@ def traverse(a: SignatureTree, b: SignatureTree, threshold: int) -> Iterator[tup
                 stack.append((na, nb, p[ok], q[ok]))
 
 
-# --- the distributed join -----------------------------------------------------------------------
+def leader_pairs(bits: np.ndarray, sizes: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect likely clusters, few more than members: the first member not yet linked
+    becomes a leader, is held against all members of fitting size, and is paired with those clusters
+    that signatures cannot exclude, one member each. Members keep their order for leadership."""
+    by_size = np.argsort(sizes, kind="stable")
+    b, n = bits[by_size], sizes[by_size]
+    excess = n - np.bitwise_count(b).sum(axis=1, dtype=np.int64)
+    cluster = np.full(len(n), -1, np.int64)  # leader's number
+    place = np.empty(len(n), np.int64)
+    place[by_size] = np.arange(len(n))
+    left, right = [], []
+    for lead in place.tolist():
+        if cluster[lead] >= 0:
+            continue
+        lo = int(np.searchsorted(n, -(-threshold * n[lead] // 100)))
+        hi = int(np.searchsorted(n, 100 * n[lead] // threshold, side="right"))
+        most = np.bitwise_count(b[lo:hi] & b[lead]).sum(axis=1, dtype=np.int64) + np.minimum(excess[lo:hi], excess[lead])
+        near = lo + np.flatnonzero(np.minimum(most, np.minimum(n[lo:hi], n[lead])) >= _needed(n[lo:hi] + n[lead], threshold))
+        near = near[near != lead]
+        new, old = near[cluster[near] < 0], near[cluster[near] >= 0]
+        met, first = np.unique(cluster[old], return_index=True)
+        other = np.concatenate([new, old[first]])
+        left.append(np.full(len(other), by_size[lead]))
+        right.append(by_size[other])
+        if len(met):
+            cluster[np.isin(cluster, met)] = lead
+        cluster[new] = lead
+        cluster[lead] = lead
+    empty = np.empty(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
 
 
-def _popcount_and(a: str, b: str, words64: int) -> Column:
-    """Common bits of two bitmaps, in built-in functions."""
-    total = F.lit(0)
-    for i in range(words64):
-        x, y = (F.conv(F.hex(F.substring(F.col(c), 8 * i + 1, 8)), 16, -10).cast("long") for c in (a, b))
-        total = total + F.bit_count(x.bitwiseAND(y))
-    return total.cast("long")
+# --- the distributed join -----------------------------------------------------------------------
 
 
 def _bits(column: pa.Array, words64: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, words64)
 
 
-def _possible(cfg: JoinConfig) -> Column:
-    """Signatures of a and b do not exclude a link (bounds as in the tree)."""
-    size = F.col("n_a") + F.col("n_b")
-    need = F.ceil(F.lit(cfg.threshold) * size / F.lit(100 + cfg.threshold) - F.lit(1e-9))
-    most = _popcount_and("m_a", "m_b", cfg.words64) + F.least("e_a", "e_b")
-    near = (100 * F.col("n_a") >= cfg.threshold * F.col("n_b")) & (100 * F.col("n_b") >= cfg.threshold * F.col("n_a"))
-    return near & (F.least(most, "n_a", "n_b") >= need)
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, cfg: JoinConfig) -> DataFrame:
     """The pairs (a, b of digests) that are links, by their whole sets."""
     x = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa"))
@@ -297,24 +312,45 @@ def _sets(docs: DataFrame, members: DataFrame, cfg: JoinConfig) -> DataFrame:
     return rows.mapInArrow(run, "digest binary, shingles binary").dropDuplicates(["digest"])
 
 
-def _tree_pairs(cells: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """Pairs of digests of different components that survive the dual traversal in each cell
-    (key, i, j): members of block i against those of block j."""
+def _cells(grouped: DataFrame, signatures: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """Members (key, digest, members, comp) of groups with their signatures, dealt to cells (key, i, j):
+    a group of up to ``block`` members is one cell, a larger one a cell for each pair of its blocks."""
+    blocks = F.ceil(F.col("members") / F.lit(cfg.block)).cast("int")
+    return (
+        grouped.join(signatures, "digest")
+        .withColumn("block", F.pmod(F.xxhash64("digest"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "n", "bitmap", "comp")
+        .repartition("key", "i", "j")
+    )
+
+
+def _cell_pairs(cells: DataFrame, cfg: JoinConfig, whole: bool) -> DataFrame:
+    """Candidate pairs of digests in each cell. ``whole``: all pairs of different components that
+    survive the dual traversal of the trees of blocks i and j; else only the pairs that connect
+    likely clusters."""
+
+    def pairs_of(digests: list[bytes], x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        lo = [min(digests[p], digests[q]) for p, q in zip(x, y, strict=True)]
+        hi = [max(digests[p], digests[q]) for p, q in zip(x, y, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(lo, pa.binary()), pa.array(hi, pa.binary())], ["a", "b"])
 
     def join_cell(t: pa.Table) -> Iterator[pa.RecordBatch]:
         digests = t.column("digest").to_pylist()
         side = t.column("block").to_numpy()
         bits, sizes = _bits(t.column("bitmap"), cfg.words64), t.column("n").to_numpy().astype(np.int64)
+        if not whole:
+            order = np.array(sorted(range(len(digests)), key=digests.__getitem__))
+            p, q = leader_pairs(bits[order], sizes[order], cfg.threshold)
+            yield pairs_of(digests, order[p], order[q])
+            return
         comp = t.column("comp").to_pylist()
         comp = np.unique(np.array([int.from_bytes(c, "big") % (1 << 62) for c in comp], np.int64), return_inverse=True)[1].astype(np.int64)
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         pick = [np.flatnonzero(side == i)] + ([np.flatnonzero(side == j)] if i != j else [])
         trees = [SignatureTree(bits[p], sizes[p], comp[p], cfg.leaf) for p in pick]
         for p, q in traverse(trees[0], trees[-1], cfg.threshold):
-            a, b = pick[0][p], pick[-1][q]
-            lo = [min(digests[x], digests[y]) for x, y in zip(a, b, strict=True)]
-            hi = [max(digests[x], digests[y]) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(lo, pa.binary()), pa.array(hi, pa.binary())], ["a", "b"])
+            yield pairs_of(digests, pick[0][p], pick[-1][q])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the last cell so far; cells are bounded by two blocks
@@ -359,7 +395,7 @@ def linked_components(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFr
         .agg(F.lit(1).alias("_one"))
         .select("key", "digest")
     )
-    shared = records.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("digest").alias("lo")).where("members > 1")
+    shared = records.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     grouped = materialize(records.join(shared, "key"), "groups")
     involved = grouped.select("digest").distinct()
     facts = materialize(
@@ -370,26 +406,16 @@ def linked_components(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFr
     )
     sets = materialize(_sets(docs, facts, cfg), "sets")
 
-    sig = facts.select("digest", "n", "bitmap", (F.col("n") - _popcount_and("bitmap", "bitmap", cfg.words64)).alias("e"))
-    pairs = grouped.where("digest != lo").select(F.col("lo").alias("a"), F.col("digest").alias("b")).distinct()
-    side = lambda c: sig.select(F.col("digest").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"m_{c}"), F.col("e").alias(f"e_{c}"))
-    star = pairs.join(side("a"), "a").join(side("b"), "b").where(_possible(cfg)).select("a", "b")
-    first = materialize(_verified(star, sets, cfg), "links")
+    signatures = facts.select("digest", "n", "bitmap")
+    likely = _cell_pairs(_cells(grouped.withColumn("comp", F.col("digest")), signatures, cfg), cfg, whole=False).distinct()
+    first = materialize(_verified(likely, sets, cfg), "links")
     comp = components(first).select(F.col("vertex").alias("digest"), F.col("component").alias("comp"))
 
     # groups that still span components
     named = grouped.join(comp, "digest", "left").withColumn("comp", F.coalesce("comp", "digest")).select("key", "digest", "members", "comp")
     open_ = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
-    blocks = F.ceil(F.col("members") / F.lit(cfg.block)).cast("int")
-    cells = (
-        named.join(open_, "key", "left_semi")
-        .join(sig.select("digest", "n", "bitmap"), "digest")
-        .withColumn("block", F.pmod(F.xxhash64("digest"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "n", "bitmap", "comp")
-        .repartition("key", "i", "j")
-    )
-    rest = materialize(_tree_pairs(cells, cfg).distinct(), "tree-pairs")
+    cells = _cells(named.join(open_, "key", "left_semi"), signatures, cfg)
+    rest = materialize(_cell_pairs(cells, cfg, whole=True).distinct(), "tree-pairs")
     second = _verified(rest, sets, cfg)
     whole = components(first.unionByName(second)).select(F.col("vertex").alias("digest"), F.col("component").alias("comp"))
 
