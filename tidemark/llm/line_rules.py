@@ -2,9 +2,8 @@
 
 Every line is judged by itself; lines that fail a rule are removed, and a document is rejected
 if it then has lost too much of its text:
- * punctuation: a line of some length without a mark at or near its end, or with marks of
-   emphasis on most of its words;
- * symbols: about as many of ``#*$%&|<>`` as words;
+ * punctuation: a long line without the end of any sentence, or marks of emphasis on most words;
+ * symbols: half as many of ``#*$%&|<>`` as words, or more;
  * navigation: cells separated by bars, arrows or bullets;
  * boilerplate: notices on cookies, rights, subscriptions, scripts, licences;
  * repetition: few distinct words in a line;
@@ -24,9 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, words
+from .common import fresh, words
 
-SYMBOLS = "#*$%&|<>"
 #: Phrases of boilerplate lines, in lower case.
 BOILERPLATE = (
     "all rights reserved|copyright ©|\\(c\\) copyright|cookie policy|we use cookies|accept cookies|privacy policy|terms of (use|service)"
@@ -43,68 +41,76 @@ class RuleConfig:
     keep_percent: int = 50  # characters of words that must be left
 
 
-def _length_without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
+#: One of these is in every boilerplate phrase: a fast test of whole texts before lines are matched.
+MARKS = ("reserved", "copyright", "cookie", "policy", "terms of", "subscribe", "sign up", "login", "log in", "click here", "read more", "share this", "javascript", "ipsum", "licensed", "follow us")
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line that has a word fails a rule by itself."""
-    parts = words(line)
+def _is_blank(line: Column) -> Column:
+    return ~line.rlike(r"[^\x20\x09-\x0D]")
+
+
+def line_fails(line: Column, parts: Column, boilerplate: bool = True) -> Column:
+    """Whether a line with words ``parts`` fails a rule; ``boilerplate``: phrases are looked for."""
     n = F.size(parts)
-    symbols = F.length(line) - _length_without(line, SYMBOLS)
-    emphasis = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
-    bars = F.length(line) - _length_without(line, "|»›→•·")
-    ended = line.rlike(r"[.!?…:;,\"')\]»”’][\x20\x09-\x0D]*$")
-    return (
-        (symbols * 10 >= n * 5)
-        | ((emphasis >= 2) & (emphasis * 10 >= n * 4))
-        | ((bars >= 2) & (bars * 10 >= n * 2))
-        | F.lower(line).rlike(BOILERPLATE)
+    fails = (
+        (F.regexp_count(line, F.lit("[#*$%&|<>]")) * 10 >= n * 5)
+        | (F.regexp_count(line, F.lit("!!")) * 10 >= F.greatest(n * 4, F.lit(20)))
+        | (F.regexp_count(line, F.lit("[|»›→•·]")) * 10 >= F.greatest(n * 2, F.lit(20)))
         | ((n >= 10) & (F.size(F.array_distinct(parts)) * 10 <= n * 3))
-        | (~ended & (n >= 40) & ~line.rlike(r"[.!?…]"))
+        | ((n >= 40) & ~line.rlike(r"[.!?…]"))
     )
+    return fails | F.lower(line).rlike(BOILERPLATE) if boilerplate else fails
 
 
 def with_statistics(df: DataFrame, text: str = "text", cfg: RuleConfig = RuleConfig()) -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept
     and kept_text (the lines left, joined by line feeds). Columns of these names are replaced."""
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_text"]
-    t = {k: fresh(f"lr_{k}", [*df.columns, *made]) for k in ("text", "words", "windows", "sorted", "at", "lines", "good")}
+    t = {k: fresh(f"lr_{k}", [*df.columns, *made]) for k in ("text", "words", "windows", "sorted", "any", "at", "lines", "good")}
     c = {k: F.col(v) for k, v in t.items()}
     df = df.withColumn(t["text"], F.coalesce(F.col(text), F.lit(""))).withColumn(t["words"], words(c["text"]))
-    # window hashes
-    df = df.withColumn(made[0], F.size(c["words"]).cast("long")).withColumn(t["words"], F.transform(c["words"], lambda w: F.xxhash64(w)))
+    df = df.withColumn("n_words", F.size(c["words"]).cast("long")).withColumn("word_chars", F.length(F.array_join(c["words"], "")).cast("long"))
+    # repeated windows: hashes of windows with their positions, sorted
+    df = df.withColumn(t["words"], F.transform(c["words"], lambda w: F.xxhash64(w)))
     n = F.size(c["words"])
     at_each = F.when(n >= cfg.window, F.sequence(F.lit(0), n - cfg.window)).otherwise(F.array().cast("array<int>"))
     df = df.withColumn(t["windows"], F.transform(at_each, lambda i: F.xxhash64(*[F.get(c["words"], i + k) for k in range(cfg.window)])))
     high = F.lit((1 << 36) - 1).cast("long")
     coded = F.transform(c["windows"], lambda h, i: F.shiftleft(h.bitwiseAND(high), _POSITION).bitwiseOR(i.cast("long")))
     df = df.withColumn(t["sorted"], F.sort_array(coded))
-    s = c["sorted"]
+    s, near = c["sorted"], F.lit(1 << _POSITION).cast("long")
     place = lambda x: x.bitwiseAND(F.lit((1 << _POSITION) - 1).cast("long")).cast("int")
 
     def same(x: Column, y: Column) -> Column:
-        """Equal windows: the 36 bits first, the whole hashes where these agree."""
-        near = F.shiftright(x, _POSITION) == F.shiftright(y, _POSITION)
-        return F.coalesce(near & (F.get(c["windows"], place(x)) == F.get(c["windows"], place(y))), F.lit(False))
+        """Equal windows: the 36 bits first, the whole hashes where these agree; null beyond the ends."""
+        return (x.bitwiseXOR(y) < near) & (F.get(c["windows"], place(x)) == F.get(c["windows"], place(y)))
 
-    twice = F.filter(s, lambda x, j: F.when(j > 0, same(x, F.get(s, j - 1))).otherwise(F.lit(False)) | same(x, F.get(s, j + 1)))
-    df = df.withColumn(t["at"], F.sort_array(F.transform(twice, place)))
+    df = df.withColumn(t["any"], F.size(F.filter(s, lambda x, j: x.bitwiseXOR(F.get(s, j + 1)) < near)) > 0)
+    twice = F.filter(s, lambda x, j: same(x, F.get(s, j + 1)) | F.when(j > 0, same(x, F.get(s, j - 1))))
+    df = df.withColumn(t["at"], F.when(c["any"], F.sort_array(F.transform(twice, place))).otherwise(F.array().cast("array<int>")))
     # a repeated window covers its words up to the next repeated window
     reach = F.transform(c["at"], lambda p, j: F.least(F.lit(cfg.window), F.coalesce(F.get(c["at"], j + 1) - p, F.lit(cfg.window))))
     df = df.withColumn("n_repeat_words", F.aggregate(reach, F.lit(0).cast("long"), lambda acc, x: acc + x))
-    df = df.withColumn("word_chars", _length_without(c["text"], SPACES).cast("long"))
-    df = df.withColumn("n_symbols", (F.length(c["text"]) - _length_without(c["text"], SYMBOLS)).cast("long"))
+    df = df.withColumn("n_symbols", F.regexp_count(c["text"], F.lit("[#*$%&|<>]")).cast("long"))
     # lines
-    df = df.withColumn(t["lines"], F.filter(F.split(c["text"], "\n"), lambda x: _length_without(x, SPACES) > 0))
+    df = df.withColumn(t["lines"], F.filter(F.split(c["text"], "\n"), lambda x: ~_is_blank(x)))
     df = df.withColumn(t["good"], F.array_distinct(c["lines"]))
     df = df.withColumn("n_dup_lines", (F.size(c["lines"]) - F.size(c["good"])).cast("long"))
-    df = df.withColumn(t["good"], F.filter(c["good"], lambda x: ~line_fails(x)))
-    left = F.aggregate(c["good"], F.lit(0).cast("long"), lambda acc, x: acc + _length_without(x, SPACES))
+    low = F.lower(c["text"])
+    suspect = low.contains(MARKS[0])
+    for m in MARKS[1:]:
+        suspect = suspect | low.contains(m)
+    split = F.transform(c["good"], lambda x: F.struct(x.alias("line"), words(x).alias("parts")))
+    df = df.withColumn(t["good"], split)
+    # the test of the text stays outside the lambda: inside, it would be made for each line
+    with_phrases = F.filter(c["good"], lambda x: ~line_fails(x["line"], x["parts"]))
+    without = F.filter(c["good"], lambda x: ~line_fails(x["line"], x["parts"], boilerplate=False))
+    df = df.withColumn(t["good"], F.when(suspect, with_phrases).otherwise(without))
+    left = F.aggregate(c["good"], F.lit(0).cast("long"), lambda acc, x: acc + F.length(F.array_join(x["parts"], "")))
     failed = (F.col("n_words") < cfg.min_words) | (100 * F.col("n_repeat_words") > cfg.max_repeat_percent * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
     df = df.withColumn("kept", ~F.col("base_failed") & (100 * left >= cfg.keep_percent * F.col("word_chars")))
-    return df.withColumn("kept_text", F.array_join(c["good"], "\n")).drop(*t.values())
+    return df.withColumn("kept_text", F.array_join(F.transform(c["good"], lambda x: x["line"]), "\n")).drop(*t.values())
 
 
 def clean(docs: DataFrame, cfg: RuleConfig = RuleConfig(), text: str = "text") -> DataFrame:
