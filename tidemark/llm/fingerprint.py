@@ -79,7 +79,10 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
         return total
 
     groups = F.sequence(F.lit(0), F.lit(BINS // per - 1))
-    return df.withColumn(out, F.when(col["dense"].isNotNull(), F.transform(groups, packed))).drop(*t.values())
+    # a generator ends the chain: a filter on the result stays above it, where pushing it down would
+    # put the whole chain into the filter many times over
+    result = F.when(col["dense"].isNotNull(), F.transform(groups, packed))
+    return df.withColumn(out, F.explode(F.array(result))).drop(*t.values())
 
 
 def as_text(fp: Column) -> Column:

@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -294,14 +294,21 @@ def fit(docs: DataFrame, config: CrfConfig = CrfConfig()) -> CrfModel:
     a hash of the id, of at most ``max_chars`` characters."""
     d = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang"))
     d = d.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (fold(F.col("_id"), 4) != 2))
-    top = [r["_lang"] for r in d.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(config.languages).collect()]
-    best = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = d.where(F.length("_text") <= config.max_chars).where(F.col("_lang").isin(top)).select("_id", "_lang")
-    ids = ids.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= config.per_language)
-    keep = F.broadcast(ids.select("_id").distinct())  # at most per_language * languages rows
-    rows = d.where(F.length("_text") <= config.max_chars).join(keep, "_id").limit(2 * config.per_language * max(1, len(top))).collect()
-    rows.sort(key=lambda r: (r["_id"], r["_lang"], r["_text"]))
-    return train([(r["_text"], r["_lang"]) for r in rows if r["_lang"] in top], config)
+    d = d.where(F.length("_text") <= config.max_chars)
+    top = {r["_lang"]: r["count"] for r in d.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(config.languages).collect()}
+    # a share of the hashes that holds somewhat more than is wanted of each language; a part of it is taken
+    share = F.lit(-1.0)
+    for lang, n in top.items():
+        share = F.when(F.col("_lang") == lang, min(1.0, 1.5 * config.per_language / n + 1e-9)).otherwise(share)
+    place = (F.xxhash64("_id").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    found = d.withColumn("_place", place).where(F.col("_place") < share).limit(3 * config.per_language * max(1, len(top))).collect()
+    found.sort(key=lambda r: (r["_place"], str(r["_id"]), r["_text"]))
+    rows, taken = [], Counter()
+    for r in found:
+        if taken[r["_lang"]] < config.per_language:
+            taken[r["_lang"]] += 1
+            rows.append(r)
+    return train([(r["_text"], r["_lang"]) for r in rows], config)
 
 
 def predict(docs: DataFrame, model: CrfModel, text_col: str = "text", out_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:

@@ -110,7 +110,10 @@ def with_statistics(df: DataFrame, text: str = "text", cfg: RuleConfig = RuleCon
     failed = (F.col("n_words") < cfg.min_words) | (100 * F.col("n_repeat_words") > cfg.max_repeat_percent * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
     df = df.withColumn("kept", ~F.col("base_failed") & (100 * left >= cfg.keep_percent * F.col("word_chars")))
-    return df.withColumn("kept_text", F.array_join(F.transform(c["good"], lambda x: x["line"]), "\n")).drop(*t.values())
+    df = df.withColumn("kept_text", F.array_join(F.transform(c["good"], lambda x: x["line"]), "\n")).drop(*t.values())
+    # a generator ends the chain: a filter on the results stays above it instead of repeating the chain
+    others, row = [n for n in df.columns if n not in made], fresh("lr_row", df.columns)
+    return df.select(*others, F.explode(F.array(F.struct(*made))).alias(row)).select(*others, f"{row}.*")
 
 
 def clean(docs: DataFrame, cfg: RuleConfig = RuleConfig(), text: str = "text") -> DataFrame:

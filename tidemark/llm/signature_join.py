@@ -388,7 +388,9 @@ def linked_components(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFr
     """One row per document: doc_id, n_shingles, component_id (smallest reachable doc_id)."""
     all_docs = materialize(sketches(docs, cfg), "sketch")
     # classes of equal sets, each with its smallest id; bitmap and keys follow from the set
-    classes = all_docs.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    classes = all_docs.where(F.col("digest").isNotNull()).groupBy("digest")
+    classes = classes.agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("bitmap").alias("bitmap"))
+    classes = materialize(classes, "classes")
     records = (
         all_docs.select("digest", F.explode("keys").alias("key"))
         .groupBy("key", "digest")  # copies end here, most of them before the shuffle
@@ -398,12 +400,7 @@ def linked_components(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFr
     shared = records.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     grouped = materialize(records.join(shared, "key"), "groups")
     involved = grouped.select("digest").distinct()
-    facts = materialize(
-        all_docs.join(involved, "digest", "left_semi")
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("bitmap").alias("bitmap")),
-        "facts",
-    )
+    facts = materialize(classes.join(involved, "digest", "left_semi"), "facts")
     sets = materialize(_sets(docs, facts, cfg), "sets")
 
     signatures = facts.select("digest", "n", "bitmap")

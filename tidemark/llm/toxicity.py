@@ -107,10 +107,12 @@ def _exact_counts(texts: list[str], wanted: np.ndarray, cfg: ToxicityConfig) ->
 def _pick(mine: list[str], other: list[str], slot_mine: np.ndarray, slot_other: np.ndarray, cfg: ToxicityConfig) -> list[bytes]:
     """Fragments much more frequent in ``mine``, none inside another, the strongest last. Slots of
     hashes find the candidates, which are then counted exactly."""
-    z = np.where(slot_mine >= 4, _contrast(slot_mine, slot_other, len(mine), len(other)), 0)
-    wanted = z >= cfg.min_z
-    if wanted.sum() > 20_000:
-        wanted = z >= np.partition(z, -20_000)[-20_000]
+    some = np.flatnonzero(slot_mine >= 4)
+    z = _contrast(slot_mine[some], slot_other[some], len(mine), len(other))
+    if (z >= cfg.min_z).sum() > 20_000:
+        some, z = (x[np.argpartition(z, -20_000)[-20_000:]] for x in (some, z))
+    wanted = np.zeros(len(slot_mine), bool)
+    wanted[some[z >= cfg.min_z]] = True
     a, b = _exact_counts(mine, wanted, cfg), _exact_counts(other, wanted, cfg)
     ranked = []
     for g, n in a.items():
