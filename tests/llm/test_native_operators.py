@@ -297,7 +297,7 @@ def test_verdicts_follow_labels(spark, sf):
 
 
 def test_lines_are_removed(spark):
-    good = "This is a decent sentence with enough words to be kept in the text.\nAnother one follows it, and it is fine as well, with commas."
+    good = "This is a decent sentence with enough words to be kept in the text.\nAnother one follows it, and it is fine as well, with commas.\nA third and last line makes the text somewhat longer than its junk."
     junk = "Home | About | Contact | Help | Login\nWe use cookies to make this better.\nAll rights reserved.\n### $$$ %%% &&&"
     docs = spark.createDataFrame([(1, good + "\n" + junk + "\nAll rights reserved."), (2, junk + "\n" + junk.replace("Home", "Top").replace("better", "fine")), (3, good)], "doc_id long, text string")
     kept = {r.doc_id: r.text for r in line_rules.clean(docs).collect()}
