@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .line_rules import BOILERPLATE
+
 OP2 = r"""
 WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
@@ -35,6 +37,64 @@ SELECT r.doc_id, r.size, r.source_size, r.target,
 FROM ranked r LEFT JOIN upto t ON r.source IS NOT DISTINCT FROM t.source AND r.u = t.u AND r.p > 0
 """
 
+OP7 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT row_id, unnest(range(1, len(ws) - 6)) AS place, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS gram FROM docs WHERE len(ws) >= 8
+), twice AS (
+  SELECT row_id, place FROM (SELECT *, count(*) OVER (PARTITION BY row_id, gram) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT row_id, sum(least(8, coalesce(following - place, 8)))::BIGINT AS n_repeat_words FROM (SELECT *, lead(place) OVER (PARTITION BY row_id ORDER BY place) AS following FROM twice) GROUP BY row_id
+), lines AS (
+  SELECT row_id, line, count(*) AS times FROM (SELECT row_id, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2
+), split AS (
+  SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS parts FROM lines
+), judged AS (
+  SELECT row_id, times, length(array_to_string(parts, '')) AS chars,
+         len(regexp_extract_all(line, '[#*$%&|<>]')) * 10 >= len(parts) * 5
+         OR len(regexp_extract_all(line, '!!')) * 10 >= greatest(len(parts) * 4, 20)
+         OR len(regexp_extract_all(line, '[|»›→•·]')) * 10 >= greatest(len(parts) * 2, 20)
+         OR (len(parts) >= 10 AND len(list_distinct(parts)) * 10 <= len(parts) * 3)
+         OR (len(parts) >= 40 AND NOT regexp_matches(line, '[.!?…]'))
+         OR regexp_matches(lower(line), '{boilerplate}') AS fails
+  FROM split
+), by_doc AS (
+  SELECT row_id, (sum(times) - count(*))::BIGINT AS n_dup_lines, coalesce(sum(chars) FILTER (NOT fails), 0)::BIGINT AS chars_left FROM judged GROUP BY row_id
+), counted AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(chars_left, 0) AS chars_left
+  FROM docs LEFT JOIN covered USING (row_id) LEFT JOIN by_doc USING (row_id)
+), failed AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * chars_left >= 50 * word_chars AS kept FROM failed
+""".replace("{boilerplate}", BOILERPLATE)
+
+OP10 = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), grams AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS gs FROM docs
+), sized AS (
+  SELECT doc_id, len(gs)::BIGINT AS n_shingles, gs FROM grams
+), flat AS (
+  SELECT doc_id, n_shingles AS n, unnest(gs) AS g FROM sized
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM common WHERE 100 * c >= 75 * (nx + ny - c)
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sized
+  UNION
+  SELECT r.doc_id, b.y FROM reach r JOIN both_ways b ON r.other = b.x
+)
+SELECT s.doc_id, s.n_shingles, min(r.other) AS component_id FROM sized s JOIN reach r USING (doc_id) GROUP BY 1, 2
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_pareto_sample": OP2}
+    return {"op2_mix_pareto_sample": OP2, "op7_line_rules": OP7, "op10_signature_tree_join": OP10}
