@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, words
+from .common import fresh, materialize, uniform, words
 
 _FINE = 1024
 
@@ -41,12 +41,6 @@ class MixConfig:
     max_broadcast_sources: int = 100_000
 
 
-def uniform(seed: str, key: Column) -> Column:
-    """52-bit hash of seed and key in (0, 1)."""
-    hexa = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary")), 1, 13)
-    return (F.conv(hexa, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
-
-
 def _rank(u: Column, p: Column) -> Column:
     """Pareto rank q = (u / (1 - u)) / (p / (1 - p)), mapped to q / (1 + q): same order, in (0, 1]."""
     a, b = u * (1 - p), p * (1 - u)

@@ -96,5 +96,43 @@ SELECT s.doc_id, s.n_shingles, min(r.other) AS component_id FROM sized s JOIN re
 """
 
 
+def _pack_sql(buckets: int = 16, budget: int = 65_536) -> str:
+    """The dynamic program as one common table a bucket: the least padding of the first j bins."""
+    step = """
+{name} AS (
+  SELECT e.j, min({{'c': p.c + e.len * (e.docs - p.docs) - (e.toks - p.toks), 'i': p.j}}) AS m FROM bins e JOIN {source} p ON p.j < e.j GROUP BY e.j
+), {name}_at AS (
+  SELECT 0::BIGINT AS j, 0::HUGEINT AS c, 0::HUGEINT AS docs, 0::HUGEINT AS toks UNION ALL SELECT j, m.c, docs, toks FROM {name} JOIN bins USING (j)
+)"""
+    steps = ["d1 AS (SELECT j, {'c': len * docs - toks, 'i': 0::BIGINT} AS m FROM bins), d1_at AS (SELECT 0::BIGINT AS j, 0::HUGEINT AS c, 0::HUGEINT AS docs, 0::HUGEINT AS toks UNION ALL SELECT j, m.c, docs, toks FROM d1 JOIN bins USING (j))"]
+    steps += [step.format(name=f"d{k}", source=f"d{k - 1}_at").strip() for k in range(2, buckets + 1)]
+    program = " UNION ALL ".join(f"SELECT {k}::BIGINT AS k, j, m.c AS c, m.i AS i FROM d{k}" for k in range(1, buckets + 1))
+    return rf"""
+WITH RECURSIVE lengths AS (
+  SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS length FROM documents
+), binned AS (
+  SELECT *, CASE WHEN length <= 512 THEN length ELSE (ceil(length / pow(2, floor(log2(greatest(length, 1)) + 1e-12) - 8)) * pow(2, floor(log2(greatest(length, 1)) + 1e-12) - 8))::BIGINT END AS bin,
+         (('0x' || substr(md5('pack:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM lengths
+), counted AS (
+  SELECT bin::HUGEINT AS len, count(*)::HUGEINT AS n FROM binned WHERE bin > 0 GROUP BY bin
+), bins AS (
+  SELECT row_number() OVER w AS j, len, (sum(n) OVER w)::HUGEINT AS docs, (sum(n * len) OVER w)::HUGEINT AS toks FROM counted WINDOW w AS (ORDER BY len)
+), {", ".join(steps)}, program AS ({program}), trace AS (
+  SELECT k, j FROM (SELECT k, j FROM program WHERE j = (SELECT max(j) FROM bins) ORDER BY c, k LIMIT 1)
+  UNION ALL
+  SELECT t.k - 1, p.i FROM trace t JOIN program p ON p.k = t.k AND p.j = t.j WHERE p.i > 0
+), edges AS (
+  SELECT len::BIGINT AS boundary FROM trace JOIN bins USING (j) UNION SELECT 0 WHERE EXISTS (SELECT 1 FROM binned WHERE bin = 0)
+), numbered AS (
+  SELECT boundary, (row_number() OVER (ORDER BY boundary) - 1)::INTEGER AS bucket, greatest(1, {budget} // greatest(1, boundary)) AS room FROM edges
+), placed AS (
+  SELECT b.*, (SELECT min(boundary) FROM edges WHERE boundary >= b.bin) AS boundary FROM binned b
+), positioned AS (
+  SELECT *, row_number() OVER (PARTITION BY boundary ORDER BY u, doc_id, length) - 1 AS position FROM placed JOIN numbered USING (boundary)
+)
+SELECT doc_id, length, bucket, boundary, position // room AS batch, (position % room)::INTEGER AS slot, boundary - length AS padding FROM positioned
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_pareto_sample": OP2, "op7_line_rules": OP7, "op10_signature_tree_join": OP10}
+    return {"op1_pack_length_buckets": _pack_sql(), "op2_mix_pareto_sample": OP2, "op7_line_rules": OP7, "op10_signature_tree_join": OP10}

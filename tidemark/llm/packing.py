@@ -9,9 +9,9 @@ The histogram has a bounded number of bins whatever the table: lengths up to 512
 that lengths are rounded up to 8 leading bits (at most 0.8 % of padding by rounding), 256 bins for
 each doubling. The program's optimum is exact for the rounded lengths.
 
-Positions in a bucket are global although no task sees a whole bucket: rows are dealt to
-streams of about ``stream_rows`` by a hash, numbered inside streams, and offset by the sizes of
-the streams before. So every batch but a bucket's last is full, and a hot length is spread.
+Positions in a bucket are global although no task sees a whole bucket: rows are ordered by a hash of
+doc_id, dealt to streams of about ``stream_rows`` by ranges of it, numbered inside streams, and offset by
+the sizes of the streams before. So every batch but a bucket's last is full, and a hot length is spread.
 
 Null and empty texts have length 0 and form the bucket of boundary 0, ``budget`` documents a
 batch. Documents over the budget get batches of their own. Repeated rows are packed as often as
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words
+from .common import materialize, uniform, words
 
 EXACT = 512
 
@@ -37,6 +37,7 @@ class PackConfig:
     buckets: int = 16
     budget: int = 65_536
     stream_rows: int = 10_000
+    seed: str = "pack"
 
 
 def rounded(length: Column) -> Column:
@@ -100,13 +101,14 @@ def pack(docs: DataFrame, cfg: PackConfig = PackConfig(), length: Column | None
     for i in range(len(edges) - 2, -1, -1):
         bucket = F.when(F.col("bin") <= edges[i], i).otherwise(bucket)
     rows = rows.withColumn("bucket", bucket.cast("int"))
-    spread = F.pmod(F.xxhash64("doc_id", "length"), at(streams, F.col("bucket")).cast("long"))
-    rows = rows.withColumn("stream", spread)
+    # streams are ranges of the hash by which a bucket is ordered
+    rows = rows.withColumn("u", uniform(cfg.seed, F.col("doc_id")))
+    rows = rows.withColumn("stream", F.floor(F.col("u") * at(streams, F.col("bucket"))))
     sums = Window.partitionBy("bucket").orderBy("stream").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("bucket", "stream").count().withColumn("offset", F.coalesce(F.sum("count").over(sums), F.lit(0)))
     if sum(streams) <= 100_000:  # counted
         offsets = F.broadcast(offsets)
-    inside = Window.partitionBy("bucket", "stream").orderBy(F.xxhash64("doc_id"), "doc_id", "length")
+    inside = Window.partitionBy("bucket", "stream").orderBy("u", "doc_id", "length")
     rows = rows.withColumn("rank", F.row_number().over(inside)).join(offsets.select("bucket", "stream", "offset"), ["bucket", "stream"])
     position = F.col("offset") + F.col("rank") - 1
     room = at([max(1, cfg.budget // max(1, e)) for e in edges], F.col("bucket")).cast("long")
