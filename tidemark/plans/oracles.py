@@ -27,9 +27,9 @@ log AS (
 
 _PACKED = """
 packed AS (
-  SELECT run_id, position, user_key, seqno, encoded, 0::BIGINT AS block_id, 0::BIGINT AS slot, encoded AS held FROM placed WHERE position = 0
+  SELECT run_id, position, user_key, seqno, encoded, value_type, value, 0::BIGINT AS block_id, 0::BIGINT AS slot, encoded AS held FROM placed WHERE position = 0
   UNION ALL
-  SELECT p.run_id, p.position, p.user_key, p.seqno, p.encoded,
+  SELECT p.run_id, p.position, p.user_key, p.seqno, p.encoded, p.value_type, p.value,
          CASE WHEN b.held + 4 * ((b.slot + 16) // 16) + 24 + p.encoded > 4096 THEN b.block_id + 1 ELSE b.block_id END,
          CASE WHEN b.held + 4 * ((b.slot + 16) // 16) + 24 + p.encoded > 4096 THEN 0 ELSE b.slot + 1 END,
          CASE WHEN b.held + 4 * ((b.slot + 16) // 16) + 24 + p.encoded > 4096 THEN p.encoded ELSE b.held + p.encoded END
@@ -94,6 +94,12 @@ _TEXT = {
 _PACKED_TEXT = {
     "block_packing": "SELECT run_id, user_key, seqno, block_id, slot FROM packed",
     "block_index": "SELECT *, coalesce(sum(block_len) OVER (PARTITION BY run_id ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS block_offset FROM blocks",
+    "block_roundtrip": "SELECT run_id, user_key, seqno, value_type, value, block_id, slot FROM packed",
+    "block_payloads": """
+        SELECT p.run_id, p.block_id, count(*) AS entries, sha256(unhex(string_agg(e.key_hex || e.value_hex, '' ORDER BY slot)
+               || coalesce(string_agg(printf('%08X', start), '' ORDER BY slot) FILTER (slot % 16 = 0), '') || printf('%08X', count(*) FILTER (slot % 16 = 0)) || printf('%08X', count(*)))) AS sha256
+        FROM (SELECT *, coalesce(sum(encoded) OVER (PARTITION BY run_id, block_id ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM packed) p
+        JOIN entry e USING (seqno) GROUP BY p.run_id, p.block_id""",
     "block_lookup": "SELECT b.run_id, p.user_key, min(b.block_id) AS block_id FROM probes p JOIN blocks b ON b.last_key >= p.user_key GROUP BY 1, 2",
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bloom, codec, crypto, integrity
+from ..functions import blockcodec, bloom, codec, crypto, integrity
 from ..model import RunOptions, changelog, value_type_name, violations
 from ..operators import blocks, buffer, compaction, numbering, reads
 from ..sources.runs import RunStore, describe_runs
@@ -187,6 +187,17 @@ def block_lookup(spark, sf):
     return blocks.find_block(blocks.block_index(_packed(spark, sf)), probes(spark, sf))
 
 
+def block_payloads(spark, sf):
+    return blockcodec.block_payloads(_packed(spark, sf)).select("run_id", "block_id", "entries", F.sha2("payload", 256).alias("sha256"))
+
+
+def block_roundtrip(spark, sf):
+    """Blocks are sealed with checksums, opened and decoded again."""
+    opened = blockcodec.open_blocks(blockcodec.seal_blocks(blockcodec.block_payloads(_packed(spark, sf))))
+    text = lambda c: F.decode(c, "UTF-8").alias(c)
+    return opened.select("run_id", text("user_key"), "seqno", "value_type", text("value"), "block_id", "slot")
+
+
 def bloom_no_false_negatives(spark, sf):
     rows = runs(spark, sf)
     found = bloom.probe_filters(bloom.build_filters(rows), rows.select("run_id", "user_key").distinct())
@@ -281,7 +292,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         get_latest_live, get_detail_probes, get_point, get_at_snapshot, get_at_probes, deleted_keys, live_semi, absent_anti, resurrected_keys,
         version_history, range_scan, memtable_stats, entry_sizes, flush_assignment, merge_keep_tombstones, merge_drop_tombstones,
         merge_with_snapshots, compaction_stats, run_manifest, l0_candidates, read_amplification, sorted_entries, global_order, seqno_assignment,
-        restart_points, encode_hex, decode_roundtrip, value_type_codes, log_violations, block_packing, block_index, block_lookup,
+        restart_points, encode_hex, decode_roundtrip, value_type_codes, log_violations, block_packing, block_index, block_lookup, block_payloads, block_roundtrip,
         bloom_no_false_negatives, bloom_false_positives, entry_checksums, run_checksums, changed_runs, encrypt_roundtrip, tamper_detect,
         encrypted_sizes, store_reopened_live, store_compacted_detail, stream_ingest_live, windowed_activity,
     ]
