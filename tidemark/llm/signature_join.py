@@ -393,7 +393,7 @@ def linked_components(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFr
     classes = materialize(classes, "classes")
     records = (
         all_docs.select("digest", F.explode("keys").alias("key"))
-        .groupBy("key", "digest")  # copies end here, most of them before the shuffle
+        .groupBy("key", "digest")  # copies end here, most before the shuffle; a hot key stays spread by digest
         .agg(F.lit(1).alias("_one"))
         .select("key", "digest")
     )

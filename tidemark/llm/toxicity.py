@@ -145,6 +145,22 @@ def _lengths(c: zstd.ZstdCompressor, buffer: bytes, segments: bytes, n: int) ->
     return np.fromiter((len(out[i]) for i in range(n)), dtype=np.int32, count=n)
 
 
+def _gains(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, toxic: zstd.ZstdCompressor, ordinary: zstd.ZstdCompressor) -> np.ndarray:
+    """Bytes that each window, with its trailer, is shorter with the toxic dictionary."""
+    trailer = np.frombuffer(_TRAILER, np.uint8)
+    segments = np.empty((len(begin), 2), "<u8")
+    segments[:, 1] = size + len(trailer)
+    segments[:, 0] = np.cumsum(segments[:, 1]) - segments[:, 1]
+    whole = np.empty(int(segments[:, 1].sum()), np.uint8)
+    at = segments[:, 0].astype(np.int64)
+    for k in range(len(trailer)):
+        whole[at + size + k] = trailer[k]
+    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    whole[np.repeat(at, size) + inner] = raw[np.repeat(begin, size) + inner]
+    buffer, packed = whole.tobytes(), segments.tobytes()
+    return _lengths(ordinary, buffer, packed, len(begin)) - _lengths(toxic, buffer, packed, len(begin))
+
+
 def window_statistics(texts: list[str], toxic: zstd.ZstdCompressor, ordinary: zstd.ZstdCompressor, cfg: ToxicityConfig) -> np.ndarray:
     """Per text: windows, windows better by the margin, their sum of bytes, the largest gain."""
     out = np.zeros((len(texts), 4))
@@ -162,19 +178,10 @@ def window_statistics(texts: list[str], toxic: zstd.ZstdCompressor, ordinary: zs
     rank = np.arange(len(doc)) - np.repeat(first, np.diff(np.r_[first, len(doc)]))
     head = np.flatnonzero(rank % cfg.window_words == 0)
     tail = np.r_[head[1:], len(doc)] - 1  # a window ends before the next one or with its text
-    size = stops[tail] - starts[head]
-    trailer = np.frombuffer(_TRAILER, np.uint8)
-    segments = np.empty((len(head), 2), "<u8")
-    segments[:, 1] = size + len(trailer)
-    segments[:, 0] = np.cumsum(segments[:, 1]) - segments[:, 1]
-    whole = np.empty(int(segments[:, 1].sum()), np.uint8)
-    at = segments[:, 0].astype(np.int64)
-    for k in range(len(trailer)):
-        whole[at + size + k] = trailer[k]
-    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    whole[np.repeat(at, size) + inner] = raw[np.repeat(starts[head], size) + inner]
-    buffer, packed = whole.tobytes(), segments.tobytes()
-    gain = _lengths(ordinary, buffer, packed, len(head)) - _lengths(toxic, buffer, packed, len(head))
+    begin, size = starts[head], stops[tail] - starts[head]
+    gain = np.empty(len(head), np.int32)
+    for i in range(0, len(head), 50_000):  # bounded memory in a long text
+        gain[i : i + 50_000] = _gains(raw, begin[i : i + 50_000], size[i : i + 50_000], toxic, ordinary)
     d = doc[head]
     hit = gain >= cfg.margin
     out[:, 0] = np.bincount(d, minlength=len(texts))
