@@ -56,6 +56,15 @@ def test_versions_snapshot_and_resurrection(spark):
     assert [(r.seqno, r.version, r.superseded_by) for r in reads.history(log).orderBy("version").collect()] == [(10, 1, None), (5, 2, 10), (1, 3, 5)]
 
 
+@pytest.mark.parametrize("span", [1, 7, 50, 1 << 20])
+def test_dated_probes_in_spans(spark, span):
+    rows = random_log(9, 200, 4)
+    probes = spark.createDataFrame([(f"k{k}", n) for k in range(6) for n in range(0, 260, 13)], "user_key string, as_of long")
+    got = {(r.user_key, r.as_of): (r.seqno, r.value) for r in reads.get_at(table(spark, rows), probes, span).collect()}
+    want = {(f"k{k}", n): (lambda s: (s[0], s[2]) if s else (None, None))(model(rows, n).get(f"k{k}")) for k in range(6) for n in range(0, 260, 13)}
+    assert got == want
+
+
 def test_ghost_delete_and_empty_key(spark):
     log = table(spark, [("ghost", 1, DELETE, None), ("", 2, PUT, "")])
     probes = spark.createDataFrame([("ghost",), ("",), ("none",)], "user_key string")

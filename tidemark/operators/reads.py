@@ -51,20 +51,29 @@ def status(value_type: Column) -> Column:
     return F.when(value_type == PUT, FOUND).when(value_type == DELETE, DELETED).otherwise(NOT_FOUND)
 
 
-def get_at(log: DataFrame, probes: DataFrame) -> DataFrame:
+def get_at(log: DataFrame, probes: DataFrame, span: int = 1 << 20) -> DataFrame:
     """As-of join: for each probe (user_key, as_of) the newest version with ``seqno <= as_of``.
 
-    Probes and versions are merged into one stream ordered by (key, version) and the last version is
-    carried to the probes behind it: linear in both sides, where a range join would pair every
-    probe with all older versions of its key."""
+    Probes and versions are merged into one stream ordered by version and the last version is carried to
+    the probes behind it: linear in both sides, where a range join would pair every probe with all older
+    versions of its key. Streams are (key, ``span`` seqnos), so a hot key is spread over tasks; what is
+    carried into a span is the newest version of the spans before, one row a key and span."""
     keys = probes.select("user_key").distinct()
+    span_of = lambda c: F.floor(F.col(c) / span).alias("_span")
     versions = log.join(keys, "user_key", "left_semi").select(
-        "user_key", F.col("seqno").alias("_at"), F.lit(0).alias("_probe"), F.struct(*_VERSION).alias("_v")
+        "user_key", F.col("seqno").alias("_at"), span_of("seqno"), F.lit(0).alias("_probe"), F.struct(*_VERSION).alias("_v")
     )
-    asked = probes.select("user_key", F.col("as_of").alias("_at"), F.lit(1).alias("_probe"), F.lit(None).cast(versions.schema["_v"].dataType).alias("_v"))
-    before = Window.partitionBy("user_key").orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, 0)
+    none = F.lit(None).cast(versions.schema["_v"].dataType).alias("_v")
+    asked = probes.select("user_key", F.col("as_of").alias("_at"), span_of("as_of"), F.lit(1).alias("_probe"), none)
+    before = Window.partitionBy("user_key", "_span").orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, 0)
     merged = versions.unionByName(asked).withColumn("_v", F.last("_v", ignorenulls=True).over(before)).where("_probe = 1")
-    return merged.select("user_key", F.col("_at").alias("as_of"), status(F.col("_v.value_type")).alias("status"), F.col("_v.seqno").alias("seqno"), F.when(F.col("_v.value_type") == PUT, F.col("_v.value")).alias("value"))
+    ends = versions.groupBy("user_key", "_span").agg(F.max_by("_v", "_at").alias("_v"))
+    both = ends.unionByName(asked.select("user_key", "_span", "_v").distinct()).groupBy("user_key", "_span").agg(F.max("_v").alias("_v"))
+    earlier = Window.partitionBy("user_key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.select("user_key", "_span", F.last("_v", ignorenulls=True).over(earlier).alias("_carried"))
+    found = merged.join(carried, ["user_key", "_span"], "left").withColumn("_v", F.coalesce("_v", "_carried"))
+    kind = F.col("_v.value_type")
+    return found.select("user_key", F.col("_at").alias("as_of"), status(kind).alias("status"), F.col("_v.seqno").alias("seqno"), F.when(kind == PUT, F.col("_v.value")).alias("value"))
 
 
 def history(log: DataFrame) -> DataFrame:
