@@ -387,10 +387,9 @@ def _cell_pairs(cells: DataFrame, cfg: JoinConfig, whole: bool) -> DataFrame:
 def linked_components(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest reachable doc_id)."""
     all_docs = materialize(sketches(docs, cfg), "sketch")
-    # classes of equal sets, each with its smallest id; bitmap and keys follow from the set
-    classes = all_docs.where(F.col("digest").isNotNull()).groupBy("digest")
-    classes = classes.agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("bitmap").alias("bitmap"))
-    classes = materialize(classes, "classes")
+    # classes of equal sets, each with its smallest id; bitmap and keys follow from the set and stand at its
+    # first row in each task, so copies weigh little in what follows
+    classes = materialize(all_docs.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id")), "classes")
     records = (
         all_docs.select("digest", F.explode("keys").alias("key"))
         .groupBy("key", "digest")  # copies end here, most before the shuffle; a hot key stays spread by digest
@@ -400,7 +399,9 @@ def linked_components(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFr
     shared = records.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     grouped = materialize(records.join(shared, "key"), "groups")
     involved = grouped.select("digest").distinct()
-    facts = materialize(classes.join(involved, "digest", "left_semi"), "facts")
+    firsts = all_docs.where(F.col("bitmap").isNotNull()).select("digest", F.col("n_shingles").alias("n"), "bitmap")
+    facts = firsts.join(involved, "digest", "left_semi").dropDuplicates(["digest"]).join(classes, "digest")
+    facts = materialize(facts.select("digest", "first_id", "n", "bitmap"), "facts")
     sets = materialize(_sets(docs, facts, cfg), "sets")
 
     signatures = facts.select("digest", "n", "bitmap")
