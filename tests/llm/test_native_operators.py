@@ -253,7 +253,7 @@ def test_likeness_is_unbiased_for_short_sets(spark):
 def test_next_row_crosses_buckets(spark):
     ids = [*range(0, 300, 3), 10**15, 10**15 + 1, -5]
     docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r.next_text for r in fingerprint.with_next(docs, ["text"], fingerprint.NeighbourConfig(cells=7, bucket_rows=10)).collect()}
+    got = {r.doc_id: r.next_text for r in fingerprint.with_next(docs, ["text"], cfg=fingerprint.NeighbourConfig(cells=7, bucket_rows=10)).collect()}
     ids = sorted(ids)
     assert got == {a: f"t{b}" for a, b in zip(ids, [*ids[1:], ids[0]], strict=True)}
 

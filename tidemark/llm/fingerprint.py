@@ -129,13 +129,14 @@ def _bucket(docs: DataFrame, cfg: NeighbourConfig) -> Column:
     return cell.cast("long") * F.lit(1 << 32) + F.coalesce(inner, F.lit(0))
 
 
-def with_next(docs: DataFrame, carried: list[str], cfg: NeighbourConfig = NeighbourConfig()) -> DataFrame:
+def with_next(docs: DataFrame, carried: list[str], ids: DataFrame | None = None, cfg: NeighbourConfig = NeighbourConfig()) -> DataFrame:
     """``docs`` with ``next_<c>`` for each carried column: its value in the row of the next
     doc_id (after the last: the first; null ids come first, equal ids in the order of text).
+    ``ids``: a table with the same ids that is cheaper to read for them, if there is one.
 
     A row goes to its bucket; the first row of a bucket goes also, as a guard, behind the last row
     of the bucket before. So one shuffle carries the texts and no task sees more than a bucket."""
-    slim = docs.select("doc_id")
+    slim = (docs if ids is None else ids).select("doc_id")
     bucket = _bucket(slim, cfg)
     firsts = slim.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("first_id"))
     order = Window.orderBy("bucket")  # a row for each bucket
@@ -162,7 +163,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text (last quarter replaced by the beginning
     of the next document), with the likeness of neighbours."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_fingerprint(rows, "text", "fp"), ["text", "fp"])
+    rows = with_next(with_fingerprint(rows, "text", "fp"), ["text", "fp"], ids=docs)
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
