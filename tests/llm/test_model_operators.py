@@ -64,6 +64,18 @@ def test_toxicity_learns_short_words():
     assert np.allclose(s, parts)  # a text's score does not depend on its neighbours
 
 
+def test_toxicity_late_in_unbroken_text():
+    model = toxicity.train(planted())
+    rng = random.Random(2)
+    run = lambda n: "".join(rng.choice("katomiresolunedi") for _ in range(n))
+    c = [toxicity._compressor(x, model.config.search_log) for x in (model.toxic, model.ordinary)]
+    for at in (0, 200, 245, 4_000, 19_000):
+        clean = run(20_000)
+        bad = clean[:at] + "_loathsome_" + clean[at:]
+        a, b = toxicity.window_statistics([clean, bad], *c, model.config)
+        assert b[1] > a[1] and b[2] > a[2], at
+
+
 def test_models_without_both_labels():
     for m in (toxicity, quality):
         for rows in ([], [("some words", 1)] * 3, [("some words", 0)] * 3):

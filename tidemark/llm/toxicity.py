@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained from labelled text, one on toxic and one on ordinary
-text. A text is cut into windows of a few words; each window is compressed with either
+text. A text is cut into windows of a few words, and long windows (text with few blanks) into
+overlapping shorter ones, so that every byte is compared; each window is compressed with either
 dictionary, and the difference of the two lengths says which text it resembles. Calibrated
 statistics of these differences (logistic regression on the training rows, shifted to the natural
 share of toxic rows) give the score.
@@ -35,6 +36,7 @@ _BLANK = bytes(32 if c in b" \t\n\x0b\x0c\r" else c for c in range(256))
 @dataclass(frozen=True)
 class ToxicityConfig:
     window_words: int = 4
+    window_bytes: int = 48  # longer windows are cut; zstandard stores up to 63 literals as they are, so gains compare
     search_log: int = 4  # of the compressor: the search's depth as a power of two
     fragments: int = 160  # fragments in each dictionary at most
     min_z: float = 6.0  # how much a fragment's frequency must differ
@@ -178,11 +180,16 @@ def window_statistics(texts: list[str], toxic: zstd.ZstdCompressor, ordinary: zs
     rank = np.arange(len(doc)) - np.repeat(first, np.diff(np.r_[first, len(doc)]))
     head = np.flatnonzero(rank % cfg.window_words == 0)
     tail = np.r_[head[1:], len(doc)] - 1  # a window ends before the next one or with its text
-    begin, size = starts[head], stops[tail] - starts[head]
-    gain = np.empty(len(head), np.int32)
-    for i in range(0, len(head), 50_000):  # bounded memory in a long text
+    begin, size, d = starts[head], stops[tail] - starts[head], doc[head]
+    # a long window becomes several that share as many bytes as two fragments: none is cut in all of them
+    step = cfg.window_bytes - 2 * cfg.max_chars
+    cuts = 1 + np.maximum(0, -(-(size - cfg.window_bytes) // step))
+    shift = (np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * step
+    begin, d = np.repeat(begin, cuts) + shift, np.repeat(d, cuts)
+    size = np.minimum(np.repeat(size, cuts) - shift, cfg.window_bytes)
+    gain = np.empty(len(begin), np.int32)
+    for i in range(0, len(begin), 50_000):  # bounded memory in a long text
         gain[i : i + 50_000] = _gains(raw, begin[i : i + 50_000], size[i : i + 50_000], toxic, ordinary)
-    d = doc[head]
     hit = gain >= cfg.margin
     out[:, 0] = np.bincount(d, minlength=len(texts))
     out[:, 1] = np.bincount(d, weights=hit, minlength=len(texts))
