@@ -307,6 +307,29 @@ def test_join_of_edited_copies(spark):
     check_join(spark, docs, signature_join.JoinConfig(block=16, leaf=4))
 
 
+@pytest.mark.parametrize("cfg", [signature_join.JoinConfig(), signature_join.JoinConfig(block=16, leaf=4)])
+def test_join_returns_every_link(spark, cfg):
+    rng, docs = random.Random(6), {}
+    for g in range(3):  # groups of near copies: most links lie inside a component
+        for _ in range(30):
+            w = [f"g{g}w{k}" for k in range(120)]
+            w[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+            docs[len(docs)] = " ".join(w)
+    docs[len(docs)] = docs[0]
+    sets = sets_of(docs)
+    want = {(i, j) for i in sets for j in sets if i < j and sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    out = signature_join.links(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3), cfg)
+    rows = out.documents.collect()
+    of = collections.defaultdict(list)
+    for r in rows:
+        of[bytes(r.digest)].append(r.doc_id)
+    pairs = [(bytes(r.a), bytes(r.b)) for r in out.pairs().collect()]
+    got = {tuple(sorted((x, y))) for a, b in pairs for x in of[a] for y in of[b]}
+    assert len(want) > 1000 and got == want and len(pairs) == len(set(pairs))
+    classes = collections.Counter(d for p in pairs for d in p)
+    assert all(r.n_links == classes[bytes(r.digest)] for r in rows)
+
+
 def test_traversal_finds_all_pairs():
     rng = np.random.default_rng(0)
     base = [set(rng.integers(0, 2**60, 80).tolist()) for _ in range(10)]

@@ -15,14 +15,12 @@ One tree over all documents would not distribute, so the forest is planted on gr
 class goes to 32 groups by the minimum hashes of its shingles (three of them make a key). A pair
 at similarity s misses all groups with probability ``(1 - s^3)^32``: 2.4e-8 at 0.75. No group is
 capped. Then
- 1. in each group, leaders are held against all members by their signatures, and each member or
-    cluster that cannot be excluded is paired with one leader: about as many pairs as members, so a
-    group of near copies is fine at any size; these pairs are verified exactly;
- 2. connected components are formed; groups that lie in one component are done;
- 3. in the others, trees are built and traversed for all pairs of *different* components. What
-    survives is verified exactly and components are formed again.
-Groups over ``block`` members are dealt out as pairs of blocks to separate tasks.
-Links inside a component that add nothing to it need not be looked at; no component is missed.
+ 1. in each group, a tree is built and traversed for all pairs of classes that signatures cannot exclude; a
+    pair that shares several groups is taken in the first of them only;
+ 2. the sets of these classes are brought to their group, and every pair is verified exactly;
+ 3. the verified pairs give each class's number of links and, through a forest of each group, the components.
+Groups over ``block`` members are dealt out as pairs of blocks to separate tasks. Pairs are held as one
+row of a class and its partners, so rows grow with members; the links themselves are all there.
 
 Null, empty and blank texts have an empty set and are linked with nothing (component: their own
 doc_id). Texts with fewer than five words are one shingle. Repeated rows and repeated ids fall
@@ -31,7 +29,7 @@ into the class of their set. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -235,38 +233,6 @@ def traverse(a: SignatureTree, b: SignatureTree, threshold: int) -> Iterator[tup
                 stack.append((na, nb, p[ok], q[ok]))
 
 
-def leader_pairs(bits: np.ndarray, sizes: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that connect likely clusters, few more than members: the first member not yet linked
-    becomes a leader, is held against all members of fitting size, and is paired with those clusters
-    that signatures cannot exclude, one member each. Members keep their order for leadership."""
-    by_size = np.argsort(sizes, kind="stable")
-    b, n = bits[by_size], sizes[by_size]
-    excess = n - np.bitwise_count(b).sum(axis=1, dtype=np.int64)
-    cluster = np.full(len(n), -1, np.int64)  # leader's number
-    place = np.empty(len(n), np.int64)
-    place[by_size] = np.arange(len(n))
-    left, right = [], []
-    for lead in place.tolist():
-        if cluster[lead] >= 0:
-            continue
-        lo = int(np.searchsorted(n, -(-threshold * n[lead] // 100)))
-        hi = int(np.searchsorted(n, 100 * n[lead] // threshold, side="right"))
-        most = np.bitwise_count(b[lo:hi] & b[lead]).sum(axis=1, dtype=np.int64) + np.minimum(excess[lo:hi], excess[lead])
-        near = lo + np.flatnonzero(np.minimum(most, np.minimum(n[lo:hi], n[lead])) >= _needed(n[lo:hi] + n[lead], threshold))
-        near = near[near != lead]
-        new, old = near[cluster[near] < 0], near[cluster[near] >= 0]
-        met, first = np.unique(cluster[old], return_index=True)
-        other = np.concatenate([new, old[first]])
-        left.append(np.full(len(other), by_size[lead]))
-        right.append(by_size[other])
-        if len(met):
-            cluster[np.isin(cluster, met)] = lead
-        cluster[new] = lead
-        cluster[lead] = lead
-    empty = np.empty(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
-
-
 # --- the distributed join -----------------------------------------------------------------------
 
 
@@ -274,24 +240,6 @@ def _bits(column: pa.Array, words64: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, words64)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """The pairs (a, b of digests) that are links, by their whole sets."""
-    x = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa"))
-    y = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for p, q in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = (np.frombuffer(memoryview(v.as_buffer()), "<u8") for v in (p, q))
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * common >= cfg.threshold * (len(s) + len(t) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a binary, b binary")
-
-
 def _sets(docs: DataFrame, members: DataFrame, cfg: JoinConfig) -> DataFrame:
     """(digest, shingles) of the classes in ``members`` (digest, first_id), from the texts."""
     wanted = members.select(F.col("first_id").alias("_first"), F.col("digest").alias("_want"))
@@ -313,79 +261,124 @@ def _sets(docs: DataFrame, members: DataFrame, cfg: JoinConfig) -> DataFrame:
 
 
 def _cells(grouped: DataFrame, signatures: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """Members (key, digest, members, comp) of groups with their signatures, dealt to cells (key, i, j):
+    """Members (key, digest, members) of groups with their signatures, dealt to cells (key, i, j):
     a group of up to ``block`` members is one cell, a larger one a cell for each pair of its blocks."""
     blocks = F.ceil(F.col("members") / F.lit(cfg.block)).cast("int")
     return (
         grouped.join(signatures, "digest")
         .withColumn("block", F.pmod(F.xxhash64("digest"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "n", "bitmap", "comp")
-        .repartition("key", "i", "j")
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "n", "bitmap", "keys")
     )
 
 
-def _cell_pairs(cells: DataFrame, cfg: JoinConfig, whole: bool) -> DataFrame:
-    """Candidate pairs of digests in each cell. ``whole``: all pairs of different components that
-    survive the dual traversal of the trees of blocks i and j; else only the pairs that connect
-    likely clusters."""
-
-    def pairs_of(digests: list[bytes], x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        lo = [min(digests[p], digests[q]) for p, q in zip(x, y, strict=True)]
-        hi = [max(digests[p], digests[q]) for p, q in zip(x, y, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(lo, pa.binary()), pa.array(hi, pa.binary())], ["a", "b"])
-
-    def join_cell(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        digests = t.column("digest").to_pylist()
-        side = t.column("block").to_numpy()
-        bits, sizes = _bits(t.column("bitmap"), cfg.words64), t.column("n").to_numpy().astype(np.int64)
-        if not whole:
-            order = np.array(sorted(range(len(digests)), key=digests.__getitem__))
-            p, q = leader_pairs(bits[order], sizes[order], cfg.threshold)
-            yield pairs_of(digests, order[p], order[q])
-            return
-        comp = t.column("comp").to_pylist()
-        comp = np.unique(np.array([int.from_bytes(c, "big") % (1 << 62) for c in comp], np.int64), return_inverse=True)[1].astype(np.int64)
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        pick = [np.flatnonzero(side == i)] + ([np.flatnonzero(side == j)] if i != j else [])
-        trees = [SignatureTree(bits[p], sizes[p], comp[p], cfg.leaf) for p in pick]
-        for p, q in traverse(trees[0], trees[-1], cfg.threshold):
-            yield pairs_of(digests, pick[0][p], pick[-1][q])
+def _by_cell(cells: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``work`` makes of the rows of each cell (key, i, j)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the last cell so far; cells are bounded by two blocks
-
-        def cells_of(table: pa.Table, last: bool):
-            ids = [table.column(c).to_numpy() for c in ("key", "i", "j")]
-            cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
-            ends = [*cut.tolist(), table.num_rows]
-            begin = 0
-            for k, end in enumerate(ends):
-                if k < len(ends) - 1 or last:
-                    yield table.slice(begin, end - begin), False
-                else:
-                    yield table.slice(begin, end - begin), True
-                begin = end
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([*held, batch])
-            held = []
-            for cell, open_ in cells_of(table, False):
-                if open_:
-                    held = cell.to_batches()
-                else:
-                    yield from join_cell(cell)
+            ids = [table.column(c).to_numpy() for c in ("key", "i", "j")]
+            begin = 0
+            for end in (np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1).tolist():
+                yield from work(table.slice(begin, end - begin))
+                begin = end
+            held = table.slice(begin).to_batches()
         if held:
-            for cell, _ in cells_of(pa.Table.from_batches(held), True):
-                yield from join_cell(cell)
+            yield from work(pa.Table.from_batches(held))
 
-    return cells.sortWithinPartitions("key", "i", "j").mapInArrow(run, "a binary, b binary")
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
 
-def linked_components(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest reachable doc_id)."""
+def _candidates(cells: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """(key, i, j, digest, partners) of each member of a cell with a candidate: all pairs that survive the dual
+    traversal of the trees of blocks i and j and share no earlier group, each in one member's partners
+    (digests end to end)."""
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        digests, side = t.column("digest").to_pylist(), t.column("block").to_numpy()
+        bits, sizes = _bits(t.column("bitmap"), cfg.words64), t.column("n").to_numpy().astype(np.int64)
+        keys = np.array(t.column("keys").to_pylist(), np.int64)
+        key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
+        pick = [np.flatnonzero(side == i)] + ([np.flatnonzero(side == j)] if i != j else [])
+        trees = [SignatureTree(bits[p], sizes[p], p, cfg.leaf) for p in pick]  # each member its own component
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for x, y in traverse(trees[0], trees[-1], cfg.threshold):
+            x, y = pick[0][x], pick[-1][y]
+            for s in range(0, len(x), 1 << 16):
+                p, q = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
+                here = keys[p, (keys[p] == keys[q]).argmax(axis=1)] == key
+                left.append(p[here])
+                right.append(q[here])
+        p, q = np.concatenate(left), np.concatenate(right)
+        by = np.argsort(p, kind="stable")
+        p, q = p[by], q[by]
+        members = np.union1d(p, q)
+        lo, hi = np.searchsorted(p, members, side="left"), np.searchsorted(p, members, side="right")
+        partners = [b"".join([digests[x] for x in q[u:v].tolist()]) for u, v in zip(lo.tolist(), hi.tolist(), strict=True)]
+        n = len(members)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32())]
+            + [pa.array([digests[x] for x in members.tolist()], pa.binary()), pa.array(partners, pa.binary())],
+            ["key", "i", "j", "digest", "partners"],
+        )
+
+    return _by_cell(cells, work, "key long, i int, j int, digest binary, partners binary")
+
+
+def _verified(candidates: DataFrame, sets: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """(digest, partners, links, root) of each member of a cell with a link by whole sets: its partners (each pair
+    at one member), its number of links in the cell, and one member of its component in the cell."""
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        digests = t.column("digest").to_pylist()
+        number = {d: k for k, d in enumerate(digests)}
+        raw = [np.frombuffer(x, "<u8") for x in t.column("shingles").to_pylist()]
+        size = [len(x) for x in raw]
+        ids = np.split(np.unique(np.concatenate(raw), return_inverse=True)[1], np.cumsum(size)[:-1])
+        mark = np.zeros(1 + max(int(x.max()) for x in ids), bool)
+        label, links = np.arange(len(digests)), np.zeros(len(digests), np.int64)
+        kept = []
+        for x, near in enumerate(t.column("partners").to_pylist()):
+            mark[ids[x]] = True
+            mine = []
+            for y in [number[near[k : k + 16]] for k in range(0, len(near), 16)]:
+                common = int(np.count_nonzero(mark[ids[y]]))
+                if 100 * common >= cfg.threshold * (size[x] + size[y] - common):
+                    mine.append(y)
+            mark[ids[x]] = False
+            kept.append(b"".join([digests[y] for y in mine]))
+            if mine:
+                links[x] += len(mine)
+                links[mine] += 1
+                label[np.isin(label, label[[x, *mine]])] = label[x]
+        some = np.flatnonzero(links).tolist()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([digests[x] for x in some], pa.binary()), pa.array([kept[x] for x in some], pa.binary())]
+            + [pa.array(links[some], pa.int64()), pa.array([digests[label[x]] for x in some], pa.binary())],
+            ["digest", "partners", "links", "root"],
+        )
+
+    return _by_cell(candidates.join(sets, "digest"), work, "digest binary, partners binary, links long, root binary")
+
+
+@dataclass(frozen=True)
+class Links:
+    documents: DataFrame  # doc_id, n_shingles, digest (of its class), n_links (linked classes), component_id
+    adjacency: DataFrame  # digest, partners: every link of two classes once, partners end to end
+
+    def pairs(self) -> DataFrame:
+        """(a, b) of every two linked classes, by their digests, a < b; each pair once."""
+        each = F.expr("transform(sequence(0, length(partners) div 16 - 1), k -> substring(partners, 16 * k + 1, 16))")
+        one = self.adjacency.where(F.length("partners") > 0).select("digest", F.explode(each).alias("other"))
+        return one.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b"))
+
+
+def links(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> Links:
+    """All links between classes, and each document's class, number of linked classes and component."""
     all_docs = materialize(sketches(docs, cfg), "sketch")
     # classes of equal sets, each with its smallest id; bitmap and keys follow from the set and stand at its
     # first row in each task, so copies weigh little in what follows
@@ -399,29 +392,27 @@ def linked_components(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFr
     shared = records.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     grouped = materialize(records.join(shared, "key"), "groups")
     involved = grouped.select("digest").distinct()
-    firsts = all_docs.where(F.col("bitmap").isNotNull()).select("digest", F.col("n_shingles").alias("n"), "bitmap")
-    facts = firsts.join(involved, "digest", "left_semi").dropDuplicates(["digest"]).join(classes, "digest")
-    facts = materialize(facts.select("digest", "first_id", "n", "bitmap"), "facts")
-    sets = materialize(_sets(docs, facts, cfg), "sets")
-
-    signatures = facts.select("digest", "n", "bitmap")
-    likely = _cell_pairs(_cells(grouped.withColumn("comp", F.col("digest")), signatures, cfg), cfg, whole=False).distinct()
-    first = materialize(_verified(likely, sets, cfg), "links")
-    comp = components(first).select(F.col("vertex").alias("digest"), F.col("component").alias("comp"))
-
-    # groups that still span components
-    named = grouped.join(comp, "digest", "left").withColumn("comp", F.coalesce("comp", "digest")).select("key", "digest", "members", "comp")
-    open_ = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
-    cells = _cells(named.join(open_, "key", "left_semi"), signatures, cfg)
-    rest = materialize(_cell_pairs(cells, cfg, whole=True).distinct(), "tree-pairs")
-    second = _verified(rest, sets, cfg)
-    whole = components(first.unionByName(second)).select(F.col("vertex").alias("digest"), F.col("component").alias("comp"))
+    firsts = all_docs.where(F.col("bitmap").isNotNull()).select("digest", F.col("n_shingles").alias("n"), "bitmap", "keys")
+    facts = firsts.join(involved, "digest", "left_semi").dropDuplicates(["digest"])
+    facts = materialize(facts.select("digest", "n", "bitmap", "keys"), "facts")
 
+    near = materialize(_candidates(_cells(grouped, facts, cfg), cfg), "candidates")
+    sets = materialize(_sets(docs, classes.join(near.select("digest").distinct(), "digest", "left_semi"), cfg), "sets")
+    found = materialize(_verified(near, sets, cfg), "links")
+
+    whole = components(found.where("digest != root"), "digest", "root").select(F.col("vertex").alias("digest"), F.col("component").alias("comp"))
+    degree = found.groupBy("digest").agg(F.sum("links").alias("n_links"))
     ids = classes.join(whole, "digest", "left").select("digest", "first_id", F.coalesce("comp", "digest").alias("comp"))
     least = ids.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    final = ids.join(least, "comp").select("digest", "component_id")
-    return (
+    final = ids.join(least, "comp").join(degree, "digest", "left").select("digest", "n_links", "component_id")
+    documents = (
         all_docs.select("doc_id", "n_shingles", "digest")
         .join(final, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", "digest", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
     )
+    return Links(documents, found.select("digest", "partners"))
+
+
+def linked_components(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest reachable doc_id)."""
+    return links(docs, cfg).documents.select("doc_id", "n_shingles", "component_id")
