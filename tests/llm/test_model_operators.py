@@ -221,6 +221,18 @@ def test_language_odd(odd_documents, no_documents, spark):
     assert language_crf.predict(odd_documents, language_crf.fit(odd_documents)).count() == odd_documents.count()
 
 
+def test_every_language_is_learned(spark):
+    rng, rows = random.Random(3), []
+    own = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(70)}
+    for lang, words in own.items():
+        # l69 has long documents only
+        rows += [(len(rows) + k, " ".join(rng.choices(words, k=7000 if lang == "l69" else 40)), lang) for k in range(12 if lang < "l60" else 8)]
+    model = language_crf.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.labels == tuple(sorted(own))
+    got, _ = language_crf.predict_texts(model, [" ".join(words) for words in own.values()])
+    assert np.mean([a == b for a, b in zip(got, own, strict=True)]) > 0.9 and got[-1] == "l69"
+
+
 # --- components and the join ---
 
 

@@ -41,8 +41,7 @@ _BLOCK = 64
 class CrfConfig:
     log2_buckets: int = 16
     per_language: int = 300  # bound of the training sample: documents of each language
-    languages: int = 64  # the most frequent ones
-    max_chars: int = 40_000  # of a training document
+    max_chars: int = 40_000  # of a training document; a passage of a longer one is taken
     piece_words: int = 100  # of a training document's piece
     lexicon: int = 400  # words of each language
     epochs: int = 6
@@ -290,18 +289,24 @@ def predict_texts(model: CrfModel, texts: list[str]) -> tuple[list[str], np.ndar
 
 def fit(docs: DataFrame, config: CrfConfig = CrfConfig()) -> CrfModel:
     """Train on text and non-null lang of documents whose id is not held out (crc32 modulo 4 is not
-    2): ``per_language`` documents of each of the ``languages`` most frequent languages, chosen by
-    a hash of the id, of at most ``max_chars`` characters."""
+    2): ``per_language`` documents of every language, chosen by a hash of the id; of a text over ``max_chars``
+    characters a passage of that length, which begins where a hash of the text says. With over 64 languages
+    passages are shorter in proportion, so that the driver's memory is bounded."""
     d = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang"))
     d = d.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (fold(F.col("_id"), 4) != 2))
-    d = d.where(F.length("_text") <= config.max_chars)
-    top = {r["_lang"]: r["count"] for r in d.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(config.languages).collect()}
+    counts = [(r["_lang"], r["count"]) for r in d.groupBy("_lang").count().collect()]
+    if not counts:
+        return train([], config)
     # a share of the hashes that holds somewhat more than is wanted of each language; a part of it is taken
-    share = F.lit(-1.0)
-    for lang, n in top.items():
-        share = F.when(F.col("_lang") == lang, min(1.0, 1.5 * config.per_language / n + 1e-9)).otherwise(share)
+    share = [(lang, min(1.0, 1.5 * config.per_language / n + 1e-9)) for lang, n in sorted(counts)]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(share, "_lang string, _share double"))
     place = (F.xxhash64("_id").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    found = d.withColumn("_place", place).where(F.col("_place") < share).limit(3 * config.per_language * max(1, len(top))).collect()
+    chosen = d.withColumn("_place", place).join(shares, "_lang").where(F.col("_place") < F.col("_share"))
+    room = max(1, config.max_chars * 64 // max(64, len(share)))
+    spare = F.length("_text") - F.lit(room)
+    begin = F.when(spare > 0, F.pmod(F.crc32(F.col("_text").cast("binary")), spare + 1)).otherwise(F.lit(0)).cast("int")
+    passage = F.substring(F.col("_text"), begin + 1, F.lit(room)).alias("_text")
+    found = chosen.select("_id", "_lang", "_place", passage).limit(3 * config.per_language * len(share)).collect()
     found.sort(key=lambda r: (r["_place"], str(r["_id"]), r["_text"]))
     rows, taken = [], Counter()
     for r in found:
@@ -318,7 +323,8 @@ def predict(docs: DataFrame, model: CrfModel, text_col: str = "text", out_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_chunks(batch, text_col):
+            # marginals take memory by languages: fewer characters at a time where there are many
+            for part, texts in text_chunks(batch, text_col, (2 << 20) * 16 // max(16, len(model.labels))):
                 lang, score = predict_texts(model, texts)
                 new = [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, out_col, score_col])
