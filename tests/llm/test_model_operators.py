@@ -28,7 +28,7 @@ def held_out(spark, name, label, sf="/root/testdata/sf0.1"):
 
 def test_toxicity_held_out(spark):
     rows = held_out(spark, "op4_toxicity_compression", "toxic")
-    assert auc([r.score for r in rows], [r.y for r in rows]) > 0.88
+    assert auc([r.score for r in rows], [r.y for r in rows]) > 0.93
     assert all((r.score >= 0.5) == bool(r.predicted) and 0 <= r.score <= 1 for r in rows)
     assert np.mean([r.predicted for r in rows if not r.y]) < 0.06
 
@@ -60,6 +60,9 @@ def test_toxicity_learns_short_words():
     s = toxicity.score_texts(model, [x for x, _ in test])
     assert auc(s, [y for _, y in test]) > 0.99
     assert b"vile" in model.toxic and b"vile" not in model.ordinary
+    assert len(model.ordinary) > 500  # trained on ordinary text
+    words = b" ".join(x.encode() for x, y in planted() if not y)
+    assert all(w in words for w in model.ordinary.split()[1:-1][:50])
     parts = np.concatenate([toxicity.score_texts(model, [x]) for x, _ in test])
     assert np.allclose(s, parts)  # a text's score does not depend on its neighbours
 
@@ -73,7 +76,32 @@ def test_toxicity_late_in_unbroken_text():
         clean = run(20_000)
         bad = clean[:at] + "_loathsome_" + clean[at:]
         a, b = toxicity.window_statistics([clean, bad], *c, model.config)
-        assert b[1] > a[1] and b[2] > a[2], at
+        assert b[-1] > a[-1] and b[-3] > a[-3], at  # the largest gain, windows beyond the last margin but one
+
+
+def test_labelled_sample(spark):
+    """Long texts give a passage, both-way labels nothing, missing documents are replaced, repeats agree."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import labelled_sample
+
+    docs = [(i, f"text {i}") for i in range(100)] + [(100, "x" * 90), (101, None), (102, ""), (7, "a second text")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    label = spark.createDataFrame([(i, i % 2) for i in range(50, 200)] + [(60, 1), (7, 1)], "doc_id long, toxic int")
+    rows = labelled_sample(docs, label, "toxic", F.lit(True), 1000, 20)
+    assert {x for x, _ in rows} == {f"text {i}" for i in range(50, 100) if i != 60} | {"x" * 20, "a second text"}
+    assert rows == labelled_sample(docs.repartition(7), label, "toxic", F.lit(True), 1000, 20)
+    assert len(labelled_sample(docs, label, "toxic", F.lit(True), 10, 20)) == 20
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tidemark.llm.common import shared_dir
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077")), "x")
 
 
 def test_models_without_both_labels():

@@ -21,10 +21,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or, only where
-    that is unset (local tests), under a temporary folder."""
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or, where that is
+    unset and driver and executors are one process, under a temporary folder. On a cluster without
+    the setting: RuntimeError, as executors would write to their own disks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/tidemark-shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -52,25 +55,29 @@ def uniform(seed: str, key: Column) -> Column:
     return (F.conv(hexa, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
+def passage(text: Column, room: int) -> Column:
+    """``text``, or of a longer one ``room`` characters, which begin where a hash of the text says."""
+    spare = F.length(text) - F.lit(room)
+    begin = F.when(spare > 0, F.pmod(F.crc32(text.cast("binary")), spare + 1)).otherwise(F.lit(0)).cast("int")
+    return F.substring(text, begin + 1, F.lit(room))
+
+
 def labelled_sample(
     docs: DataFrame, label: DataFrame, label_col: str, train: Column, per_class: int, max_chars: int
 ) -> list[tuple[str, object]]:
-    """At most ``per_class`` (text, label) rows of each label value with ``train`` true and a text
-    of at most ``max_chars`` characters; which ones is decided by a hash of the id."""
-    d = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    y = label.select(F.col("doc_id").alias("_id"), F.col(label_col).alias("_y")).where(F.col("_y").isNotNull()).where(train)
-    ids = []
-    for v in (0, 1):
-        ids.append(y.where(F.col("_y") == v).select("_id", "_y", F.xxhash64("_id").alias("_h")).orderBy("_h", "_id").limit(per_class))
-    keep = ids[0].unionByName(ids[1]).dropDuplicates(["_id"])
-    rows = (
-        d.where(F.col("_text").isNotNull() & (F.length("_text") <= max_chars))
-        .join(F.broadcast(keep), "_id")  # at most 2 * per_class rows
-        .select("_h", "_id", "_text", "_y")
-        .limit(2 * per_class)
-        .collect()
-    )
-    rows.sort(key=lambda r: (r["_h"], r["_id"], r["_text"]))
+    """At most ``per_class`` (text, label) rows of each of the labels 0 and 1 with ``train`` true, of documents
+    that are there with a text; which ones is decided by a hash of the id. Of a text over ``max_chars``
+    characters a passage is taken. An id that is labelled both ways is not used; of several texts of
+    an id the smallest in code point order is."""
+    there = docs.where(F.col("text").isNotNull() & (F.col("text") != "")).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    y = label.select(F.col("doc_id").alias("_id"), F.col(label_col).alias("_y")).where(F.col("_y").isin(0, 1)).where(train)
+    y = y.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_other")).where("_y = _other")
+    y = y.join(there.select("_id"), "_id", "left_semi").select("_id", "_y", F.xxhash64("_id").alias("_h"))
+    best = [y.where(F.col("_y") == v).orderBy("_h", "_id").limit(per_class) for v in (0, 1)]
+    keep = F.broadcast(best[0].unionByName(best[1]))  # at most 2 * per_class rows
+    found = there.join(keep, "_id").select("_id", "_y", "_h", passage(F.col("_text"), max_chars).alias("_text"))
+    rows = found.groupBy("_id", "_y", "_h").agg(F.min("_text").alias("_text")).collect()
+    rows.sort(key=lambda r: (r["_h"], str(r["_id"])))
     return [(r["_text"], r["_y"]) for r in rows]
 
 
