@@ -132,6 +132,39 @@ def test_unequal_inclusion_probabilities(spark):
     assert got["a"] == pytest.approx(2.0, abs=0.01) and got["b"] == pytest.approx(1.0, abs=0.01)  # 3 : 1, a stops at 2
 
 
+def test_inclusion_follows_odds(spark):
+    """Sizes of 1, 16, 81 and 256 words have four inclusion probabilities; how often each is taken follows them, over seeds."""
+    root = {1: 1, 16: 2, 81: 3, 256: 4}
+    rows = [(i, " ".join(["w"] * n), s) for i in range(1000) for k, n in enumerate(root) for i, s in ((4 * i + k, "a"),)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    level = 1.5 * sum(root) / sum(n * x for n, x in root.items())
+    want = {n: level * x for n, x in root.items()}
+    assert 0 < want[1] < want[16] < 1 < want[81] < want[256] < 2  # three of them are drawn with different odds, none is certain
+    mean = collections.Counter()
+    for seed in ("x", "y", "z"):
+        cfg = mixing.MixConfig(seed=seed)
+        for r in mixing.mix_report(docs, cfg).groupBy("size").agg(F.avg("copies").alias("m"), F.min("copies").alias("lo"), F.max("copies").alias("hi")).collect():
+            mean[r["size"]] += r.m / 3
+            assert (r.lo, r.hi) == (int(want[r["size"]]), int(want[r["size"]]) + 1)
+    for n in root:  # over three samples, 4 standard errors are at most 0.037
+        assert mean[n] == pytest.approx(want[n], abs=0.04)
+
+
+def test_levels_with_full_sizes(spark):
+    """The largest documents stop at two copies; the level is as found by bisection."""
+    sizes = [1] * 50 + [10] * 20 + [10_000]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), "a") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    cfg = mixing.MixConfig(budget_percent=195)
+    plan = mixing.targets(mixing.sizes_of(docs), cfg).first()
+    lo, hi = 0.0, 10.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(n * min(2.0, mid * n**0.25) for n in sizes) < 1.95 * sum(sizes) else (lo, mid)
+    assert plan.level == pytest.approx(lo) and plan.target == pytest.approx(1.95 * sum(sizes))
+    got = {r.doc_id: r.copies for r in mixing.mix_report(docs, mixing.MixConfig(budget_percent=199)).collect()}
+    assert got[70] == 2
+
+
 def test_mix_odd(odd_documents, no_documents):
     rows = mixing.mix_report(odd_documents).collect()
     assert len(rows) == odd_documents.count() and all(r.taken <= 2 * r.size for r in rows)

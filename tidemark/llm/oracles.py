@@ -20,21 +20,31 @@ WITH sizes AS (
   SELECT source, source_size,
          CASE WHEN level * weight < cap THEN (SELECT f.level FROM filled f WHERE f.level * f.weight < f.cap ORDER BY f.place LIMIT 1) * weight ELSE cap END AS target
   FROM filled
+), groups AS (
+  SELECT source, size, sum(size)::BIGINT AS words, sqrt(sqrt(greatest(size, 1)::DOUBLE)) AS measure FROM sizes GROUP BY source, size
+), tried AS (
+  SELECT g.source, g.size, g.measure, (t.target - 2 * coalesce(sum(g.words) OVER (PARTITION BY g.source ORDER BY g.size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / nullif(sum(g.words * g.measure) OVER (PARTITION BY g.source ORDER BY g.size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level
+  FROM groups g JOIN targets t ON g.source IS NOT DISTINCT FROM t.source
+), levels AS (
+  SELECT source, arg_max(level, size) AS level FROM tried WHERE level * measure < 2 GROUP BY source
 ), parts AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS mean FROM targets
-), ranked AS (
-  SELECT s.doc_id, s.source, s.size, p.source_size, p.target, floor(p.mean)::BIGINT AS whole, p.mean - floor(p.mean) AS p,
-         p.target - floor(p.mean)::BIGINT * p.source_size AS wanted,
+  SELECT t.source, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN l.level ELSE 0 END AS level FROM targets t LEFT JOIN levels l ON t.source IS NOT DISTINCT FROM l.source
+), counted AS (
+  SELECT s.doc_id, s.source, s.size, p.source_size, p.target, floor(least(coalesce(p.level * sqrt(sqrt(greatest(s.size, 1)::DOUBLE)), 2.0::DOUBLE), 2.0::DOUBLE) * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE AS c,
          (('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM sizes s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source
+), ranked AS (
+  SELECT *, floor(c)::BIGINT AS whole, c - floor(c) AS p, u * (1 - (c - floor(c))) / (u * (1 - (c - floor(c))) + (c - floor(c)) * (1 - u)) AS v,
+         target - (sum(floor(c)::BIGINT * size) OVER (PARTITION BY source))::BIGINT AS wanted FROM counted
 ), summed AS (
-  SELECT source, u, sum(size) AS words FROM ranked WHERE p > 0 GROUP BY source, u
+  SELECT source, v, sum(size) AS words FROM ranked WHERE p > 0 GROUP BY source, v
 ), upto AS (
-  SELECT source, u, (sum(words) OVER (PARTITION BY source ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE - words / 2.0::DOUBLE AS middle FROM summed
+  SELECT source, v, (sum(words) OVER (PARTITION BY source ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE - words / 2.0::DOUBLE AS middle FROM summed
 )
 SELECT r.doc_id, r.size, r.source_size, r.target,
        (r.whole + CASE WHEN t.middle < r.wanted THEN 1 ELSE 0 END) * r.size AS taken
-FROM ranked r LEFT JOIN upto t ON r.source IS NOT DISTINCT FROM t.source AND r.u = t.u AND r.p > 0
+FROM ranked r LEFT JOIN upto t ON r.source IS NOT DISTINCT FROM t.source AND r.v = t.v AND r.p > 0
 """
 
 OP7 = r"""
