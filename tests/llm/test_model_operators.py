@@ -294,6 +294,12 @@ def test_components(spark):
     assert components(spark.createDataFrame([(None, 1), (2, None)], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_chain(spark):
+    """Ten thousand links in the order of their ids: rounds are logarithmic."""
+    got = components(spark.range(10_000).selectExpr("id AS a", "id + 1 AS b"))
+    assert got.count() == 10_001 and got.where("component <> 0").count() == 0
+
+
 def sets_of(docs):
     out = {}
     for i, text in docs.items():
@@ -347,7 +353,7 @@ def test_join_of_edited_copies(spark):
     check_join(spark, docs, signature_join.JoinConfig(block=16, leaf=4))
 
 
-@pytest.mark.parametrize("cfg", [signature_join.JoinConfig(), signature_join.JoinConfig(block=16, leaf=4)])
+@pytest.mark.parametrize("cfg", [signature_join.JoinConfig(), signature_join.JoinConfig(block=16, leaf=4), signature_join.JoinConfig(exact=True, block=16)])
 def test_join_returns_every_link(spark, cfg):
     rng, docs = random.Random(6), {}
     for g in range(3):  # groups of near copies: most links lie inside a component
@@ -381,16 +387,64 @@ def test_traversal_finds_all_pairs():
     cfg = signature_join.JoinConfig()
     bits = np.stack([np.frombuffer(signature_join.sketch(s, cfg)[0], "<u8") for s in sets])
     sizes = np.array([len(s) for s in sets])
-    tree = signature_join.SignatureTree(bits, sizes, np.arange(len(sets)), leaf=4)
+    tree = signature_join.SignatureTree(bits, sizes, leaf=4)
     found = {tuple(sorted(p)) for x, y in signature_join.traverse(tree, tree, 75) for p in zip(x.tolist(), y.tolist(), strict=True)}
     true = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
     assert true and true <= found and len(found) < 0.2 * len(sets) ** 2 / 2
     half = len(sets) // 2
-    left, right = (signature_join.SignatureTree(bits[p], sizes[p], np.arange(len(sets))[p], leaf=4) for p in (slice(0, half), slice(half, None)))
+    left, right = (signature_join.SignatureTree(bits[p], sizes[p], leaf=4) for p in (slice(0, half), slice(half, None)))
     cross = {(i, j + half) for x, y in signature_join.traverse(left, right, 75) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
     assert {p for p in true if p[0] < half <= p[1]} <= cross
-    one = signature_join.SignatureTree(bits, sizes, np.zeros(len(sets), np.int64), leaf=4)
-    assert not list(signature_join.traverse(one, one, 75))  # one component: nothing to do
+
+
+def test_long_sets_are_pruned():
+    """Bitmaps grow with the sets: unrelated sets of thousands of shingles are excluded, near ones of
+    two bitmap lengths are found."""
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**62, n).astype(np.uint64)) for n in [*range(3000, 3040), *range(20_000, 20_020)]]
+    for n in (2030, 4080):  # copies on either side of a power of two
+        base = rng.integers(0, 2**62, n).astype(np.uint64)
+        sets += [np.unique(base), np.unique(np.r_[base, rng.integers(0, 2**62, 40).astype(np.uint64)])]
+    cfg = signature_join.JoinConfig(leaf=4)
+    maps, sizes = [signature_join.sketch(s, cfg)[0] for s in sets], np.array([len(s) for s in sets])
+    assert len({len(m) for m in maps}) >= 4
+    found = {tuple(sorted((int(i), int(j)))) for x, y in signature_join.survivors(maps, sizes, None, cfg) for i, j in zip(x, y, strict=True)}
+    assert found == {(60, 61), (62, 63)}
+    side = np.arange(len(sets)) % 2 == 1
+    crossing = {tuple(sorted((int(i), int(j)))) for x, y in signature_join.survivors(maps, sizes, side, cfg) for i, j in zip(x, y, strict=True)}
+    assert crossing == found
+
+
+def test_prefixes_are_shared_by_linked_sets():
+    """``exact``: no two sets at 75 % can have disjoint keys, whichever shingles differ."""
+    cfg = signature_join.JoinConfig(exact=True)
+    for n in (1, 2, 3, 4, 5, 7, 8, 100, 101, 102, 103):
+        common = -(-75 * n // 100)  # a subset of n with J >= 0.75 lacks the smallest hashes
+        s = np.arange(n, dtype=np.uint64)
+        assert set(signature_join.sketch(s, cfg)[1]) & set(signature_join.sketch(s[n - common :], cfg)[1])
+
+
+def test_join_without_ids(spark):
+    """Null and repeated ids are found by their sets; every class is verified once."""
+    copies = [" ".join(f"w{k}" if k != e else f"x{e}" for k in range(60)) for e in (0, 1, 2)]
+    rows = [(None, c) for c in copies] + [(None, f"another text number {i} of six words") for i in range(40)] + [(5, copies[0] + " more"), (5, "one two three four five six seven")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = signature_join.links(docs)
+    got = collections.Counter((r.doc_id, r.n_links, r.component_id) for r in out.documents.collect())
+    assert got == {(None, 3, 5): 3, (None, 0, None): 40, (5, 3, 5): 1, (5, 0, 5): 1}
+    members = out.documents.select("digest", "doc_id").groupBy("digest").agg({"doc_id": "min"}).toDF("digest", "first_id")
+    assert signature_join._sets(docs, members, signature_join.JoinConfig()).count() == 45
+
+
+def test_hot_groups(spark):
+    """Groups over ``hot_members`` are joined without moving their rows to one task, and give the same links."""
+    docs = [(i, " ".join(f"w{k}" if k != i % 59 else f"x{i}" for k in range(60))) for i in range(70)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    plain = signature_join.links(df, signature_join.JoinConfig(block=16)).documents
+    hot = signature_join.links(df, signature_join.JoinConfig(block=16, hot_members=20)).documents
+    exact = signature_join.links(df, signature_join.JoinConfig(block=16, hot_members=20, exact=True)).documents
+    order = lambda d: sorted((r.doc_id, r.n_links, r.component_id) for r in d.collect())
+    assert order(plain) == order(hot) == order(exact)
 
 
 def test_join_odd(spark, odd_documents, no_documents):

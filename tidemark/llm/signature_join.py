@@ -11,20 +11,28 @@ range of their sizes and the largest excess. Two sets below nodes A and B overla
 link needs ``threshold / (100 + threshold)`` of the summed sizes: node pairs that cannot reach that
 are pruned with everything below them (dual traversal).
 
+A bitmap has four to eight bits a shingle, whatever the set's size, so that long texts are pruned
+as short ones are; sets whose bitmaps have different lengths are compared after folding the longer
+one (linked sets differ by one doubling at most).
+
 One tree over all documents would not distribute, so the forest is planted on groups: every
-class goes to 32 groups by the minimum hashes of its shingles (three of them make a key). A pair
-at similarity s misses all groups with probability ``(1 - s^3)^32``: 2.4e-8 at 0.75. No group is
-capped. Then
- 1. in each group, a tree is built and traversed for all pairs of classes that signatures cannot exclude; a
-    pair that shares several groups is taken in the first of them only;
+class goes to 48 groups by the minimum hashes of its shingles (three of them make a key). A pair
+at similarity s misses all groups with probability ``(1 - s^3)^48``: 3.7e-12 at 0.75. With ``exact``
+the groups are the smallest quarter of a set's hashes (and one more), which no linked pair can miss: more groups,
+and no link is lost by construction. No group is capped. Then
+ 1. groups with the same members become one; in each group a tree is built and traversed for all pairs of classes
+    that signatures cannot exclude; a pair that shares several groups is taken in the one with the smallest key;
  2. the sets of these classes are brought to their group, and every pair is verified exactly;
  3. the verified pairs give each class's number of links and, through a forest of each group, the components.
-Groups over ``block`` members are dealt out as pairs of blocks to separate tasks. Pairs are held as one
-row of a class and its partners, so rows grow with members; the links themselves are all there.
+Large groups are dealt out as pairs of blocks to separate tasks: blocks have ``block`` members, or a sixteenth of
+the group, up to ``largest_block``, so that a member is copied sixteen times at most in groups of up to 131,072 classes. Pairs
+are held as one row of a class and its partners, so rows grow with members; the links themselves are all there.
 
 Null, empty and blank texts have an empty set and are linked with nothing (component: their own
-doc_id). Texts with fewer than five words are one shingle. Repeated rows and repeated ids fall
-into the class of their set. An empty table gives an empty result.
+doc_id). Texts with fewer than five words are one shingle. Repeated rows, repeated and null ids fall
+into the class of their set; a component whose ids are all null has the null id. Texts of any length are
+taken whole, one at a time. Only the columns doc_id and text are read, whatever others are called.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,11 +55,15 @@ from .components import components
 class JoinConfig:
     width: int = 5
     threshold: int = 75  # percent
-    groups: int = 32
+    groups: int = 48
     rows: int = 3
-    words64: int = 32  # bitmap of 2048 bits
+    exact: bool = False  # groups that no linked pair can miss
+    least_bits: int = 512  # of a bitmap
     leaf: int = 32
-    block: int = 2048
+    block: int = 2048  # members of a block; a group that is no larger is one task
+    largest_block: int = 8_192
+    hot_members: int = 5_000  # groups above it are joined by themselves
+    max_hot_groups: int = 100_000  # that are broadcast for it
     seed: int = 0x5EED
 
 
@@ -79,10 +91,19 @@ def shingles(text: str | None, cfg: JoinConfig = JoinConfig(), cache: dict[bytes
     return np.unique(h)
 
 
+def _prefix(n: int, cfg: JoinConfig) -> int:
+    """How many of the smallest hashes of n two linked sets cannot differ in altogether."""
+    return n - -(-cfg.threshold * n // 100) + 1
+
+
 def sketch(s: np.ndarray, cfg: JoinConfig) -> tuple[bytes, list[int]]:
     """Bitmap and group keys of a set of shingles."""
-    bits = np.zeros(cfg.words64 * 64, np.uint8)
-    bits[_mix(s ^ np.uint64(0xB17)) % np.uint64(len(bits))] = 1
+    size = max(cfg.least_bits, 1 << (4 * len(s) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[_mix(s ^ np.uint64(0xB17)) & np.uint64(size - 1)] = 1
+    bitmap = np.packbits(bits, bitorder="little").tobytes()
+    if cfg.exact:
+        return bitmap, s[: _prefix(len(s), cfg)].view(np.int64).tolist()
     n = cfg.groups * cfg.rows
     salts = _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(cfg.seed))
     mins = np.full(n, np.iinfo(np.uint64).max, np.uint64)
@@ -96,8 +117,7 @@ def sketch(s: np.ndarray, cfg: JoinConfig) -> tuple[bytes, list[int]]:
     h = np.arange(1, cfg.groups + 1, dtype=np.uint64)
     for r in range(cfg.rows):
         h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + band[:, r])
-    keys = h.view(np.int64).tolist()
-    return np.packbits(bits, bitorder="little").tobytes(), keys
+    return bitmap, h.view(np.int64).tolist()
 
 
 def sketches(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
@@ -149,9 +169,9 @@ def _needed(total: np.ndarray | int, threshold: int):
 class SignatureTree:
     """Members sorted by size and bitmap, packed into leaves; each level ORs ``fan`` nodes."""
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray, comp: np.ndarray, leaf: int, fan: int = 8):
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, leaf: int, fan: int = 8):
         self.order = np.lexsort((*bits.T, sizes))
-        self.bits, self.sizes, self.comp = bits[self.order], sizes[self.order], comp[self.order]
+        self.bits, self.sizes = bits[self.order], sizes[self.order]
         self.excess = self.sizes - np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
         self.levels = []
         starts = np.arange(0, len(sizes), leaf)
@@ -162,11 +182,9 @@ class SignatureTree:
             np.minimum.reduceat(self.sizes, starts),
             np.maximum.reduceat(self.sizes, starts),
             np.maximum.reduceat(self.excess, starts),
-            np.minimum.reduceat(self.comp, starts),
-            np.maximum.reduceat(self.comp, starts),
         )
         self.levels.append(level)
-        ops = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum)
+        ops = (np.bitwise_or, np.minimum, np.maximum, np.maximum)
         while len(self.levels[-1][0]) > 1:
             at = np.arange(0, len(self.levels[-1][0]), fan)
             self.levels.append(tuple(op.reduceat(x, at) for op, x in zip(ops, self.levels[-1], strict=True)))
@@ -174,15 +192,15 @@ class SignatureTree:
 
 
 def _alive(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, threshold: int) -> np.ndarray:
-    """Which node pairs may hold a linked pair of different components."""
+    """Which node pairs may hold a linked pair."""
     out = np.empty(len(i), bool)
-    for s in range(0, len(i), 1 << 16):
-        p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+    step = max(64, (1 << 21) // a[0].shape[1])  # bounded memory for long bitmaps
+    for s in range(0, len(i), step):
+        p, q = i[s : s + step], j[s : s + step]
         most = np.bitwise_count(a[0][p] & b[0][q]).sum(axis=1, dtype=np.int64) + np.minimum(a[3][p], b[3][q])
         most = np.minimum(most, np.minimum(a[2][p], b[2][q]))
-        one = (a[4][p] == a[5][p]) & (b[4][q] == b[5][q]) & (a[4][p] == b[4][q])
         near = (100 * a[2][p] >= threshold * b[1][q]) & (100 * b[2][q] >= threshold * a[1][p])
-        out[s : s + (1 << 16)] = (most >= _needed(a[1][p] + b[1][q], threshold)) & near & ~one
+        out[s : s + step] = (most >= _needed(a[1][p] + b[1][q], threshold)) & near
     return out
 
 
@@ -198,8 +216,8 @@ def traverse(a: SignatureTree, b: SignatureTree, threshold: int) -> Iterator[tup
     while stack:
         la, lb, i, j = stack.pop()
         if la < 0:  # members
-            m = (a.bits, a.sizes, a.sizes, a.excess, a.comp, a.comp)
-            n = (b.bits, b.sizes, b.sizes, b.excess, b.comp, b.comp)
+            m = (a.bits, a.sizes, a.sizes, a.excess)
+            n = (b.bits, b.sizes, b.sizes, b.excess)
             ok = _alive(m, i, n, j, threshold)
             if ok.any():
                 yield a.order[i[ok]], b.order[j[ok]]
@@ -236,34 +254,78 @@ def traverse(a: SignatureTree, b: SignatureTree, threshold: int) -> Iterator[tup
 # --- the distributed join -----------------------------------------------------------------------
 
 
-def _bits(column: pa.Array, words64: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, words64)
+def _bits(bitmaps: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bitmaps), "<u8").reshape(len(bitmaps), -1)
+
+
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps of half the length: bit numbers are the low bits of hashes, so halves are joined by OR."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] | bits[:, half:]
+
+
+def survivors(bitmaps: list[bytes], sizes: np.ndarray, side: np.ndarray | None, cfg: JoinConfig) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members that their signatures cannot exclude, each once; with ``side`` (bool) pairs across sides only."""
+    length = np.array([len(x) for x in bitmaps], np.int64)
+    parts = [np.ones(len(sizes), bool)] if side is None else [~side, side]
+    members = [{n: np.flatnonzero(p & (length == n)) for n in np.unique(length[p]).tolist()} for p in parts]
+    bits = [{n: _bits([bitmaps[k] for k in at.tolist()]) for n, at in m.items()} for m in members]
+    trees = [{n: SignatureTree(bits[s][n], sizes[at], cfg.leaf) for n, at in m.items()} for s, m in enumerate(members)]
+    ways = [(0, 0)] if side is None else [(0, 1), (1, 0)]
+    for s, t in ways:
+        for n, at in members[s].items():
+            if s == 0 and n in members[t]:  # equal lengths
+                for x, y in traverse(trees[s][n], trees[t][n], cfg.threshold):
+                    yield at[x], members[t][n][y]
+            if 2 * n in members[t]:  # the other side's bitmaps are twice as long
+                longer = members[t][2 * n]
+                folded = SignatureTree(_folded(bits[t][2 * n]), sizes[longer], cfg.leaf)
+                for x, y in traverse(trees[s][n], folded, cfg.threshold):
+                    yield at[x], longer[y]
 
 
 def _sets(docs: DataFrame, members: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """(digest, shingles) of the classes in ``members`` (digest, first_id), from the texts."""
-    wanted = members.select(F.col("first_id").alias("_first"), F.col("digest").alias("_want"))
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_first"))).select("_want", "text")
+    """(digest, shingles) of the classes in ``members`` (digest, first_id), from the texts. Rows without an id are
+    all read, if a class has no other."""
+    rows = docs.select("doc_id", "text")
+    wanted = members.where(F.col("first_id").isNotNull()).select(F.col("first_id").alias("doc_id")).distinct()
+    found = rows.join(wanted, "doc_id", "left_semi")
+    if not members.where(F.col("first_id").isNull()).isEmpty():
+        found = found.unionByName(rows.where(F.col("doc_id").isNull()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                d, out = [], []
-                for want, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    s = shingles(text.as_py(), cfg)
-                    if xxhash.xxh3_128_digest(s.tobytes()) == want:  # an id may stand on several texts
-                        d.append(want)
-                        out.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(out, pa.binary())], ["digest", "shingles"])
+                sets = [shingles(text.as_py(), cfg).tobytes() for text in batch.column(0).slice(at, 512)]
+                digests = [xxhash.xxh3_128_digest(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
 
-    return rows.mapInArrow(run, "digest binary, shingles binary").dropDuplicates(["digest"])
+    # an id may stand on several texts: those of other classes go again
+    made = found.select("text").mapInArrow(run, "digest binary, shingles binary")
+    return made.join(members.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+
+
+def _groups(records: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """(key, digest, members) of the groups with two classes or more; of groups with the same members one."""
+    sized = records.groupBy("key").agg(
+        F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y")
+    )
+    kept = sized.where("members > 1").groupBy("members", "x", "y").agg(F.min("key").alias("key")).select("key", "members")
+    kept = materialize(kept, "group-sizes")
+    hot = kept.where(F.col("members") > cfg.hot_members)
+    n_hot = hot.count()
+    if not 0 < n_hot <= cfg.max_hot_groups:
+        return records.join(kept, "key")
+    hot = F.broadcast(hot)  # counted; rows of a hot key stay where they are
+    others = records.join(hot, "key", "left_anti").join(kept.where(F.col("members") <= cfg.hot_members), "key")
+    return records.join(hot, "key").unionByName(others)
 
 
 def _cells(grouped: DataFrame, signatures: DataFrame, cfg: JoinConfig) -> DataFrame:
     """Members (key, digest, members) of groups with their signatures, dealt to cells (key, i, j):
-    a group of up to ``block`` members is one cell, a larger one a cell for each pair of its blocks."""
-    blocks = F.ceil(F.col("members") / F.lit(cfg.block)).cast("int")
+    a group of one block is one cell, a larger one a cell for each pair of its blocks."""
+    size = F.greatest(F.lit(cfg.block), F.least(F.lit(cfg.largest_block), F.ceil(F.col("members") / 16)))
+    blocks = F.ceil(F.col("members") / size).cast("int")
     return (
         grouped.join(signatures, "digest")
         .withColumn("block", F.pmod(F.xxhash64("digest"), blocks).cast("int"))
@@ -293,24 +355,37 @@ def _by_cell(cells: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatc
     return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
 
+def _earlier(keys: pa.ChunkedArray, key: int) -> np.ndarray:
+    """For each member a bitmap of its keys below ``key``, over those that several members have."""
+    lists = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+    flat = lists.flatten().to_numpy()
+    of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    below = flat < key
+    values, number, count = np.unique(flat[below], return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    use = (count > 1)[number]
+    width = max(1, -(-int((count > 1).sum()) // 64))
+    out = np.zeros((len(lists), width), np.uint64)
+    at = shared[number[use]]
+    np.bitwise_or.at(out, (of[below][use], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out
+
+
 def _candidates(cells: DataFrame, cfg: JoinConfig) -> DataFrame:
     """(key, i, j, digest, partners) of each member of a cell with a candidate: all pairs that survive the dual
-    traversal of the trees of blocks i and j and share no earlier group, each in one member's partners
+    traversal of the trees of blocks i and j and share no group with a smaller key, each in one member's partners
     (digests end to end)."""
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
         digests, side = t.column("digest").to_pylist(), t.column("block").to_numpy()
-        bits, sizes = _bits(t.column("bitmap"), cfg.words64), t.column("n").to_numpy().astype(np.int64)
-        keys = np.array(t.column("keys").to_pylist(), np.int64)
         key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
-        pick = [np.flatnonzero(side == i)] + ([np.flatnonzero(side == j)] if i != j else [])
-        trees = [SignatureTree(bits[p], sizes[p], p, cfg.leaf) for p in pick]  # each member its own component
+        before = _earlier(t.column("keys"), key)
+        sizes = t.column("n").to_numpy().astype(np.int64)
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for x, y in traverse(trees[0], trees[-1], cfg.threshold):
-            x, y = pick[0][x], pick[-1][y]
+        for x, y in survivors(t.column("bitmap").to_pylist(), sizes, None if i == j else side == j, cfg):
             for s in range(0, len(x), 1 << 16):
                 p, q = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
-                here = keys[p, (keys[p] == keys[q]).argmax(axis=1)] == key
+                here = ~(before[p] & before[q]).any(axis=1)
                 left.append(p[here])
                 right.append(q[here])
         p, q = np.concatenate(left), np.concatenate(right)
@@ -354,7 +429,9 @@ def _verified(candidates: DataFrame, sets: DataFrame, cfg: JoinConfig) -> DataFr
             if mine:
                 links[x] += len(mine)
                 links[mine] += 1
-                label[np.isin(label, label[[x, *mine]])] = label[x]
+                roots = np.unique(label[[x, *mine]])
+                if len(roots) > 1:
+                    label[np.isin(label, roots)] = roots[0]
         some = np.flatnonzero(links).tolist()
         yield pa.RecordBatch.from_arrays(
             [pa.array([digests[x] for x in some], pa.binary()), pa.array([kept[x] for x in some], pa.binary())]
@@ -389,11 +466,10 @@ def links(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> Links:
         .agg(F.lit(1).alias("_one"))
         .select("key", "digest")
     )
-    shared = records.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    grouped = materialize(records.join(shared, "key"), "groups")
-    involved = grouped.select("digest").distinct()
-    firsts = all_docs.where(F.col("bitmap").isNotNull()).select("digest", F.col("n_shingles").alias("n"), "bitmap", "keys")
-    facts = firsts.join(involved, "digest", "left_semi").dropDuplicates(["digest"])
+    grouped = materialize(_groups(records, cfg), "groups")
+    keys = grouped.groupBy("digest").agg(F.collect_list("key").alias("keys"))
+    firsts = all_docs.where(F.col("bitmap").isNotNull()).select("digest", F.col("n_shingles").alias("n"), "bitmap")
+    facts = firsts.join(keys, "digest").dropDuplicates(["digest"])
     facts = materialize(facts.select("digest", "n", "bitmap", "keys"), "facts")
 
     near = materialize(_candidates(_cells(grouped, facts, cfg), cfg), "candidates")
