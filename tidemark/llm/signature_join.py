@@ -64,6 +64,7 @@ class JoinConfig:
     largest_block: int = 8_192
     hot_members: int = 5_000  # groups above it are joined by themselves
     max_hot_groups: int = 100_000  # that are broadcast for it
+    max_broadcast_ids: int = 2_000_000  # of documents whose sets are verified
     seed: int = 0x5EED
 
 
@@ -288,7 +289,9 @@ def _sets(docs: DataFrame, members: DataFrame, cfg: JoinConfig) -> DataFrame:
     """(digest, shingles) of the classes in ``members`` (digest, first_id), from the texts. Rows without an id are
     all read, if a class has no other."""
     rows = docs.select("doc_id", "text")
-    wanted = members.where(F.col("first_id").isNotNull()).select(F.col("first_id").alias("doc_id")).distinct()
+    wanted = materialize(members.where(F.col("first_id").isNotNull()).select(F.col("first_id").alias("doc_id")).distinct(), "wanted")
+    if wanted.count() <= cfg.max_broadcast_ids:
+        wanted = F.broadcast(wanted)  # counted; the texts stay where they are
     found = rows.join(wanted, "doc_id", "left_semi")
     if not members.where(F.col("first_id").isNull()).isEmpty():
         found = found.unionByName(rows.where(F.col("doc_id").isNull()))
@@ -305,22 +308,31 @@ def _sets(docs: DataFrame, members: DataFrame, cfg: JoinConfig) -> DataFrame:
     return made.join(members.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
 
 
-def _groups(records: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """(key, digest, members) of the groups with two classes or more; of groups with the same members one."""
-    sized = records.groupBy("key").agg(
-        F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y")
-    )
-    kept = sized.where("members > 1").groupBy("members", "x", "y").agg(F.min("key").alias("key")).select("key", "members")
-    kept = materialize(kept, "group-sizes")
-    hot = kept.where(F.col("members") > cfg.hot_members)
-    n_hot = hot.count()
-    if not 0 < n_hot <= cfg.max_hot_groups:
-        return records.join(kept, "key")
-    hot = F.broadcast(hot)  # counted; rows of a hot key stay where they are
-    others = records.join(hot, "key", "left_anti").join(kept.where(F.col("members") <= cfg.hot_members), "key")
+def _with_keys(records: DataFrame, keys: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """The rows of ``records`` whose key is in ``keys`` (key, members), with members. Rows of hot keys
+    stay where they are; the others are moved to their keys, at every size alike."""
+    hot = keys.where(F.col("members") > cfg.hot_members)
+    if not 0 < hot.count() <= cfg.max_hot_groups:
+        return records.join(keys.hint("merge"), "key")
+    hot = F.broadcast(hot)  # counted
+    others = records.join(hot, "key", "left_anti").join(keys.where(F.col("members") <= cfg.hot_members).hint("merge"), "key")
     return records.join(hot, "key").unionByName(others)
 
 
+def _groups(records: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """(key, digest, members) of the groups with two classes or more, from (key, digest) rows with repeats;
+    of groups with the same members one."""
+    h = F.xxhash64("digest")
+    # most keys are in one class only: two numbers a key tell, summed up before they are moved
+    seen = records.groupBy("key").agg(F.min(h).alias("x"), F.max(h).alias("y"), F.count(F.lit(1)).alias("members"))
+    seen = materialize(seen.where("x <> y").select("key", "members"), "shared-keys")
+    records = _with_keys(records, seen, cfg).groupBy("key", "digest").agg(F.lit(1).alias("_one")).select("key", "digest")
+    records = materialize(records, "records")
+    sized = records.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"))
+    kept = materialize(sized.groupBy("members", "x", "y").agg(F.min("key").alias("key")).select("key", "members"), "group-sizes")
+    return _with_keys(records, kept, cfg)
+
+
 def _cells(grouped: DataFrame, signatures: DataFrame, cfg: JoinConfig) -> DataFrame:
     """Members (key, digest, members) of groups with their signatures, dealt to cells (key, i, j):
     a group of one block is one cell, a larger one a cell for each pair of its blocks."""
@@ -460,12 +472,7 @@ def links(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> Links:
     # classes of equal sets, each with its smallest id; bitmap and keys follow from the set and stand at its
     # first row in each task, so copies weigh little in what follows
     classes = materialize(all_docs.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id")), "classes")
-    records = (
-        all_docs.select("digest", F.explode("keys").alias("key"))
-        .groupBy("key", "digest")  # copies end here, most before the shuffle; a hot key stays spread by digest
-        .agg(F.lit(1).alias("_one"))
-        .select("key", "digest")
-    )
+    records = all_docs.select("digest", F.explode("keys").alias("key"))
     grouped = materialize(_groups(records, cfg), "groups")
     keys = grouped.groupBy("digest").agg(F.collect_list("key").alias("keys"))
     firsts = all_docs.where(F.col("bitmap").isNotNull()).select("digest", F.col("n_shingles").alias("n"), "bitmap")
