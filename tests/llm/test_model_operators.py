@@ -249,6 +249,26 @@ def test_language_odd(odd_documents, no_documents, spark):
     assert language_crf.predict(odd_documents, language_crf.fit(odd_documents)).count() == odd_documents.count()
 
 
+def test_und_without_letters():
+    """A letter is a code point of a category L: not digits, number forms, signs or marks."""
+    import unicodedata
+
+    model = language_crf.train([("the words of one language", "en"), ("die worte einer sprache", "de"), ("слова одного языка", "ru")] * 20)
+    texts = ["½ ²", "①", "Ⅻ", "— … –", "12 34", "٣٤", "😀 ©", "\u0301", "_", "µ", "ª º", "слова", "漢字", "x", "½ a", "Æ", "ʰ"]
+    got, score = language_crf.predict_texts(model, texts)
+    want = [any(unicodedata.category(c).startswith("L") for c in x) for x in texts]
+    assert [g != "und" for g in got] == want and [s > 0 for s in score] == want
+    w = language_crf.Words(["½ слова — x1 ② ªb"])
+    assert w.has_letter.tolist() == [False, True, False, True, False, True]
+
+
+def test_language_sample_does_not_depend_on_partitions(spark):
+    rows = [(i % 40, f"words number {i} of a text", ["en", "de"][i % 2]) for i in range(400)] + [(None, f"no id {i}", "fr") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a, b = (language_crf.fit(docs.repartition(n), language_crf.CrfConfig(per_language=5, epochs=1)) for n in (1, 7))
+    assert a.labels == b.labels == ("de", "en", "fr") and np.array_equal(a.weights, b.weights)
+
+
 def test_every_language_is_learned(spark):
     rng, rows = random.Random(3), []
     own = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(70)}

@@ -13,13 +13,14 @@ inside the blocks. So a text of any length is exact, and the number of numpy cal
 longest text in blocks, not in words.
 
 A document's language is the label with the largest mean marginal over words with a letter; its
-score is that mean. Null texts and texts without a letter are ``und`` with score 0. Repeated rows get
-equal results. Without training rows everything is ``und``.
+score is that mean. A letter is a code point of a Unicode category L. Null texts and texts without a letter
+are ``und`` with score 0. Repeated rows get equal results, ties the first language in order. Without
+training rows everything is ``und``; an empty table gives an empty result. New columns get other names
+if the table has them.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,10 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, fresh, text_chunks
+from .common import fold, fresh, passage, text_chunks
 
 _BLANK = bytes(32 if c in b" \t\n\x0b\x0c\r" else c for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 _BLOCK = 64
 
 
@@ -87,9 +87,16 @@ class Words:
             place = np.arange(len(self.raw)) - np.repeat(np.r_[0, self.starts], np.diff(np.r_[0, self.starts, len(self.raw)]))
             value = np.where(blank, np.uint64(0), (self.raw.astype(np.uint64) + np.uint64(1)) * power[place & 63])
             self.ids = np.add.reduceat(value, self.starts, dtype=np.uint64)
-            # a letter: ASCII a-z, or any byte of a longer code point (digits and marks there are rare)
-            letter = ((self.raw >= 97) & (self.raw <= 122)) | (self.raw >= 0xC3)
-            self.has_letter = np.bitwise_or.reduceat(letter, self.starts)
+            # ASCII letters by bytes (lower case); words of other code points only are looked at
+            inside = ~blank
+            self.has_letter = np.logical_or.reduceat((self.raw >= 97) & (self.raw <= 122) & inside, self.starts)
+            rest = np.flatnonzero(~self.has_letter & np.logical_or.reduceat(self.raw >= 0x80, self.starts))
+            data, known = self.raw.tobytes(), {}
+            for i, a, b in zip(rest.tolist(), self.starts[rest].tolist(), self.stops[rest].tolist(), strict=True):
+                word = data[a:b]
+                if word not in known:
+                    known[word] = any(map(str.isalpha, word.decode()))
+                self.has_letter[i] = known[word]
         else:
             self.ids, self.has_letter = np.empty(0, np.uint64), np.empty(0, bool)
 
@@ -283,7 +290,7 @@ def predict_texts(model: CrfModel, texts: list[str]) -> tuple[list[str], np.ndar
     mean = np.stack([np.bincount(w.doc, weights=p[:, y] * w.has_letter, minlength=len(texts)) for y in range(len(model.labels))], 1)
     mean = np.where(n[:, None] > 0, mean / np.maximum(n, 1)[:, None], 1.0 / len(model.labels))
     best = mean.argmax(axis=1)
-    known = np.array([bool(_LETTER.search(x)) for x in texts], bool)
+    known = n > 0
     return [model.labels[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, mean.max(axis=1), 0.0)
 
 
@@ -294,7 +301,7 @@ def fit(docs: DataFrame, config: CrfConfig = CrfConfig()) -> CrfModel:
     passages are shorter in proportion, so that the driver's memory is bounded."""
     d = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang"))
     d = d.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (fold(F.col("_id"), 4) != 2))
-    counts = [(r["_lang"], r["count"]) for r in d.groupBy("_lang").count().collect()]
+    counts = [(r["_lang"], r["n"]) for r in d.groupBy("_lang").agg(F.approx_count_distinct(F.coalesce(F.col("_id").cast("string"), F.lit(""))).alias("n")).collect()]
     if not counts:
         return train([], config)
     # a share of the hashes that holds somewhat more than is wanted of each language; a part of it is taken
@@ -303,10 +310,9 @@ def fit(docs: DataFrame, config: CrfConfig = CrfConfig()) -> CrfModel:
     place = (F.xxhash64("_id").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     chosen = d.withColumn("_place", place).join(shares, "_lang").where(F.col("_place") < F.col("_share"))
     room = max(1, config.max_chars * 64 // max(64, len(share)))
-    spare = F.length("_text") - F.lit(room)
-    begin = F.when(spare > 0, F.pmod(F.crc32(F.col("_text").cast("binary")), spare + 1)).otherwise(F.lit(0)).cast("int")
-    passage = F.substring(F.col("_text"), begin + 1, F.lit(room)).alias("_text")
-    found = chosen.select("_id", "_lang", "_place", passage).limit(3 * config.per_language * len(share)).collect()
+    # one text for each id and language (the smallest passage), so the rows are bounded by the share and reruns agree
+    texts = chosen.groupBy("_id", "_lang", "_place").agg(F.min(passage(F.col("_text"), room)).alias("_text"))
+    found = texts.collect()
     found.sort(key=lambda r: (r["_place"], str(r["_id"]), r["_text"]))
     rows, taken = [], Counter()
     for r in found:
