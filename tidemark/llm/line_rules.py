@@ -12,8 +12,9 @@ Before that, base statistics of the whole text reject very short texts, and text
 words in repeated windows of eight words make up more than 30 %.
 
 Null, empty and blank texts have no words; base fails and they are not kept. Blank lines are
-neither judged nor counted. Long texts are processed whole; repeated windows are found by one sort
-of an array of (window hash, position). Repeated rows get equal results.
+neither judged nor counted. Long texts are processed whole; whether a text repeats a window is found by one sort
+of its window hashes, and where, by a sort of (hash, position) in texts that do. Repeated rows get equal
+results, an empty table an empty result; columns with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ BOILERPLATE = (
     "all rights reserved|copyright ©|\\(c\\) copyright|cookie policy|we use cookies|accept cookies|privacy policy|terms of (use|service)"
     "|subscribe to|sign up for|log ?in to|click here|read more|share this|enable javascript|lorem ipsum|licensed under|follow us on"
 )
-_POSITION = 27  # bits of a word's position; 36 bits of the window's hash are above
 
 
 @dataclass(frozen=True)
@@ -70,24 +70,18 @@ def with_statistics(df: DataFrame, text: str = "text", cfg: RuleConfig = RuleCon
     c = {k: F.col(v) for k, v in t.items()}
     df = df.withColumn(t["text"], F.coalesce(F.col(text), F.lit(""))).withColumn(t["words"], words(c["text"]))
     df = df.withColumn("n_words", F.size(c["words"]).cast("long")).withColumn("word_chars", F.length(F.array_join(c["words"], "")).cast("long"))
-    # repeated windows: hashes of windows with their positions, sorted
+    # repeated windows: equal hashes are neighbours once sorted
     df = df.withColumn(t["words"], F.transform(c["words"], lambda w: F.xxhash64(w)))
     n = F.size(c["words"])
     at_each = F.when(n >= cfg.window, F.sequence(F.lit(0), n - cfg.window)).otherwise(F.array().cast("array<int>"))
     df = df.withColumn(t["windows"], F.transform(at_each, lambda i: F.xxhash64(*[F.get(c["words"], i + k) for k in range(cfg.window)])))
-    high = F.lit((1 << 36) - 1).cast("long")
-    coded = F.transform(c["windows"], lambda h, i: F.shiftleft(h.bitwiseAND(high), _POSITION).bitwiseOR(i.cast("long")))
-    df = df.withColumn(t["sorted"], F.sort_array(coded))
-    s, near = c["sorted"], F.lit(1 << _POSITION).cast("long")
-    place = lambda x: x.bitwiseAND(F.lit((1 << _POSITION) - 1).cast("long")).cast("int")
-
-    def same(x: Column, y: Column) -> Column:
-        """Equal windows: the 36 bits first, the whole hashes where these agree; null beyond the ends."""
-        return (x.bitwiseXOR(y) < near) & (F.get(c["windows"], place(x)) == F.get(c["windows"], place(y)))
-
-    df = df.withColumn(t["any"], F.size(F.filter(s, lambda x, j: x.bitwiseXOR(F.get(s, j + 1)) < near)) > 0)
-    twice = F.filter(s, lambda x, j: same(x, F.get(s, j + 1)) | F.when(j > 0, same(x, F.get(s, j - 1))))
-    df = df.withColumn(t["at"], F.when(c["any"], F.sort_array(F.transform(twice, place))).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn(t["sorted"], F.sort_array(c["windows"]))
+    df = df.withColumn(t["any"], F.size(F.filter(c["sorted"], lambda x, j: x == F.get(c["sorted"], j + 1))) > 0)
+    coded = F.sort_array(F.transform(c["windows"], lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn(t["sorted"], F.when(c["any"], coded).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    s = c["sorted"]
+    twice = F.filter(s, lambda x, j: (x["h"] == F.get(s, j + 1)["h"]) | F.when(j > 0, x["h"] == F.get(s, j - 1)["h"]))
+    df = df.withColumn(t["at"], F.sort_array(F.transform(twice, lambda x: x["i"])))
     # a repeated window covers its words up to the next repeated window
     reach = F.transform(c["at"], lambda p, j: F.least(F.lit(cfg.window), F.coalesce(F.get(c["at"], j + 1) - p, F.lit(cfg.window))))
     df = df.withColumn("n_repeat_words", F.aggregate(reach, F.lit(0).cast("long"), lambda acc, x: acc + x))
