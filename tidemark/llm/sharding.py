@@ -223,10 +223,12 @@ class ShardStore:
 
 def arrivals_by_id(docs: DataFrame, n: int) -> Column:
     """Arrival number of a row when documents come in the order of doc_id, in ``n`` arrivals of
-    equal ranges; null ids come first."""
+    equal ranges; null ids come first. Ids that are strings come by their hash."""
     lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     if lo is None:
         return F.lit(0)
+    if isinstance(lo, str):
+        return F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
     width = max(float(hi) - float(lo) + 1.0, 1.0) / n
     place = F.least(F.floor((F.col("doc_id").cast("double") - F.lit(float(lo))) / F.lit(width)), F.lit(n - 1))
     return F.coalesce(place, F.lit(0)).cast("int")
