@@ -67,10 +67,35 @@ def test_packing_of_documents(spark, sf):
     check_packing(rows, cfg)
 
 
-def test_rounding_is_bounded(spark):
-    n = [0, 1, 511, 512, 513, 1023, 1024, 1025, 4097, 99_999, 1 << 20, (1 << 30) + 1]
-    got = [r.x for r in spark.createDataFrame([(x,) for x in n], "n long").select(packing.rounded(F.col("n")).alias("x")).collect()]
-    assert all(a <= b <= a * (1 + 1 / 128) for a, b in zip(n, got, strict=True)) and got[:4] == n[:4]
+def test_boundaries_of_many_lengths():
+    """Halving ranges gives what trying every start gives, ties included."""
+    rng = np.random.default_rng(2)
+    for n, most in ((700, 10**6), (300, 320)):
+        lengths, counts = np.sort(rng.choice(np.arange(1, most), n, replace=False)), rng.integers(1, 50, n)
+        docs, toks = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(counts * lengths)]
+        table, back = np.r_[0, lengths * docs[1:] - toks[1:]], []
+        for _ in range(7):
+            tried = [table[:j] + lengths[j - 1] * (docs[j] - docs[:j]) - (toks[j] - toks[:j]) for j in range(1, n + 1)]
+            back.append([0] + [int(np.argmin(c)) for c in tried])
+            table = np.r_[0, [c.min() for c in tried]]
+        want, j = [], n
+        for step in [*back[::-1], [0] * (n + 1)]:
+            if j > 0:
+                want.append(int(lengths[j - 1]))
+                j = step[j]
+        assert packing.choose_boundaries(lengths, counts, 8) == want[::-1]
+    assert len(packing.choose_boundaries(np.arange(1, 200_001), np.ones(200_000, int), 4)) == 4
+
+
+def test_packing_carries_columns(spark, sf, odd_documents):
+    docs = read(spark, sf, "documents")
+    out = packing.pack(docs, packing.PackConfig(buckets=6, budget=4000, stream_rows=17))
+    assert out.columns[: len(docs.columns)] == docs.columns
+    assert sorted(map(tuple, out.select(*docs.columns).collect())) == sorted(map(tuple, docs.collect()))
+    light = packing.pack(docs, packing.PackConfig(buckets=6, budget=4000, stream_rows=17), columns=["doc_id"])
+    assert sorted(map(tuple, out.select(*light.columns).collect())) == sorted(map(tuple, light.collect()))
+    clash = odd_documents.withColumnRenamed("copies", "bucket")
+    assert packing.pack(clash).columns[len(clash.columns) :] == ["length", "_bucket", "boundary", "batch", "slot", "padding"]
 
 
 def test_packing_odd(odd_documents, no_documents):
@@ -269,6 +294,61 @@ def test_fingerprints(spark, sf):
     assert all(len(f) == 1 for f in by_text.values())
 
 
+def plain_fingerprint(text):
+    """One-permutation MinHash with optimal densification in plain Python, on the same hash function."""
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in WORD.findall(text)]
+    if not words:
+        return "0" * 256
+    bins = {}
+    for i in range(max(1, len(words) - 4)):
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxhash.xxh64_intdigest(struct.pack("<Q", w), seed=h)
+        h &= (1 << 63) - 1
+        bins[h >> 55] = min(h, bins.get(h >> 55, 1 << 64))
+    digits = []
+    for i in range(256):
+        if i in bins:
+            digits.append(bins[i] & 15)
+            continue
+        donor = min(bins, key=lambda j: (fingerprint._place(256 * i + j), j))  # noqa: B023
+        h = xxhash.xxh64_intdigest(struct.pack("<q", signed(bins[donor])), seed=42)
+        digits.append(xxhash.xxh64_intdigest(struct.pack("<i", i), seed=h) & 15)
+    longs = [sum(d << (4 * k) for k, d in enumerate(digits[g : g + 16])) for g in range(0, 256, 16)]
+    return "".join(f"{x:016x}" for x in longs)
+
+
+def test_fingerprints_equal_plain_python(spark, odd_documents):
+    """Bins, donors and packing, from one shingle (all donors from one bin) to thousands."""
+    texts_ = [" ".join(f"w{i}_{n}" for i in range(n)) for n in (1, 4, 5, 6, 8, 20, 100, 300, 1500, 4000)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts_)], "doc_id long, text string").unionByName(odd_documents.select("doc_id", "text"))
+    rows = fingerprint.with_fingerprint(docs, "text", "fp").select("text", fingerprint.as_text(F.col("fp")).alias("f")).collect()
+    for r in rows:
+        assert r.f == plain_fingerprint(r.text or ""), (r.text or "")[:40]
+
+
+def test_buckets_of_odd_ids(spark):
+    """An id far away, null and string ids: no bucket holds more than a small share of the rows."""
+    far = spark.range(5000).selectExpr("id AS doc_id", "concat('t', id) AS text").unionByName(spark.createDataFrame([(10**18, "far")], "doc_id long, text string"))
+    nulls = spark.range(5000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('t', id) AS text")
+    names = spark.range(5000).selectExpr("concat('name-', id) AS doc_id", "concat('t', id) AS text")
+    for docs in (far, nulls, names):
+        cfg = fingerprint.NeighbourConfig(cells=16, bucket_rows=100)
+        ids = docs.select("doc_id", F.xxhash64("text").alias("h"))
+        sizes = [r["count"] for r in ids.groupBy(fingerprint._bucket(ids, "h", cfg).alias("b")).count().collect()]
+        assert max(sizes) <= 800 and len(sizes) >= 12
+        rows = fingerprint.with_next(docs, ["text"], cfg=cfg).collect()
+        assert sorted(r.next_text for r in rows) == sorted(r.text for r in rows)  # one ring
+        if docs is not nulls:
+            want = sorted(((r.doc_id, r.text) for r in rows))
+            assert {r.doc_id: r.next_text for r in rows} == {a[0]: b[1] for a, b in zip(want, [*want[1:], want[0]], strict=True)}
+
+
 def test_likeness_is_unbiased_for_short_sets(spark):
     pairs = []
     for n in (1, 2, 5, 30, 100, 400):

@@ -119,10 +119,10 @@ def _pack_sql(buckets: int = 16, budget: int = 65_536) -> str:
     program = " UNION ALL ".join(f"SELECT {k}::BIGINT AS k, j, m.c AS c, m.i AS i FROM d{k}" for k in range(1, buckets + 1))
     return rf"""
 WITH RECURSIVE lengths AS (
-  SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS length FROM documents
+  SELECT doc_id, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS length FROM documents
 ), binned AS (
-  SELECT *, CASE WHEN length <= 512 THEN length ELSE (ceil(length / pow(2, floor(log2(greatest(length, 1)) + 1e-12) - 8)) * pow(2, floor(log2(greatest(length, 1)) + 1e-12) - 8))::BIGINT END AS bin,
-         (('0x' || substr(md5('pack:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM lengths
+  SELECT *, length AS bin,
+         (('0x' || substr(md5('pack:' || coalesce(doc_id::VARCHAR, 'null:' || md5(text))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM lengths
 ), counted AS (
   SELECT bin::HUGEINT AS len, count(*)::HUGEINT AS n FROM binned WHERE bin > 0 GROUP BY bin
 ), bins AS (

@@ -12,7 +12,7 @@ from .common import fold, read, shared_dir
 
 
 def op1_pack_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"))
+    return packing.pack(read(spark, sf_dir, "documents"), columns=["doc_id"])
 
 
 def op2_mix_pareto_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
