@@ -48,6 +48,34 @@ def test_stages(spark):
     assert sorted(map(tuple, packing.pack(before).collect())) == sorted(map(tuple, after.collect()))
 
 
+def test_different_texts_of_one_id(spark):
+    """Two unlike texts under id 7 both stay; a copy of one of them under a larger id goes; null ids keep one of a group."""
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen"
+    rows = [(7, a, "x"), (7, b, "x"), (9, a, "x"), (7, b, "x"), (None, b, "y"), (None, "a text of its own with many words", "y"), (None, "a text of its own with many words", "y"), (3, "", "z"), (3, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    for n in (1, 4):
+        out = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(n), SF)
+        assert out.columns == docs.columns
+        want = [(7, a, "x"), (7, b, "x"), (None, "a text of its own with many words", "y"), (3, "", "z"), (3, None, "z")]
+        assert collections.Counter(map(tuple, out.collect())) == collections.Counter(want)
+
+
+def test_every_stage_on_odd_and_empty_tables(spark, odd_documents, no_documents):
+    for name, stage in corpus_pipeline.STAGES:
+        last = name == corpus_pipeline.STAGES[-1][0]
+        out = stage(spark, odd_documents, SF)
+        assert out.columns[: len(odd_documents.columns)] == odd_documents.columns and (last or out.columns == odd_documents.columns)
+        known = {tuple(r) for r in odd_documents.collect()}
+        assert all(tuple(r)[: len(odd_documents.columns)] in known for r in out.collect())
+        assert stage(spark, no_documents, SF).count() == 0, name
+
+
+def test_whole_pipeline_on_an_empty_table(spark, no_documents, tmp_path):
+    read(spark, SF, "documents").limit(0).write.parquet(f"file://{tmp_path}/documents.parquet")
+    read(spark, SF, "labels").limit(0).write.parquet(f"file://{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
 def test_near_duplicates_odd(spark, odd_documents):
     out = corpus_pipeline.drop_near_duplicates(spark, odd_documents, SF)
     assert out.columns == odd_documents.columns

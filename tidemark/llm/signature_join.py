@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import fresh, materialize
 from .components import components
 
 
@@ -456,7 +456,7 @@ def _verified(candidates: DataFrame, sets: DataFrame, cfg: JoinConfig) -> DataFr
 
 @dataclass(frozen=True)
 class Links:
-    documents: DataFrame  # doc_id, n_shingles, digest (of its class), n_links (linked classes), component_id
+    documents: DataFrame  # doc_id, n_shingles, digest (of its class), n_links (linked classes), component_id, component (a digest)
     adjacency: DataFrame  # digest, partners: every link of two classes once, partners end to end
 
     def pairs(self) -> DataFrame:
@@ -487,11 +487,13 @@ def links(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> Links:
     degree = found.groupBy("digest").agg(F.sum("links").alias("n_links"))
     ids = classes.join(whole, "digest", "left").select("digest", "first_id", F.coalesce("comp", "digest").alias("comp"))
     least = ids.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    final = ids.join(least, "comp").join(degree, "digest", "left").select("digest", "n_links", "component_id")
+    final = ids.join(least, "comp").join(degree, "digest", "left").select("digest", "n_links", "component_id", F.col("comp").alias("component"))
     documents = (
         all_docs.select("doc_id", "n_shingles", "digest")
         .join(final, "digest", "left")
-        .select("doc_id", "n_shingles", "digest", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select(
+            "doc_id", "n_shingles", "digest", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"), "component"
+        )
     )
     return Links(documents, found.select("digest", "partners"))
 
@@ -499,3 +501,47 @@ def links(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> Links:
 def linked_components(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest reachable doc_id)."""
     return links(docs, cfg).documents.select("doc_id", "n_shingles", "component_id")
+
+
+def _with_digest(docs: DataFrame, name: str, cfg: JoinConfig) -> DataFrame:
+    """``docs`` with the digest of each row's set (null if it is empty)."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for text in batch.column(at):
+                s = shingles(text.as_py(), cfg)
+                digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def representatives(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
+    """One row of ``docs`` for each component: the one with the smallest doc_id (null last), then the smallest
+    digest of its set; all rows without words. Rows are told apart by their ids, and where an id is null or
+    repeated by their own sets, so different texts of one id do not stand for each other."""
+    docs_of = materialize(links(docs, cfg).documents, "linked")
+    heads = docs_of.where(F.col("component").isNotNull()).groupBy("component")
+    heads = materialize(heads.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("h")).select("h.doc_id", "h.digest"), "heads")
+    repeated = docs_of.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("doc_id").isNotNull() & (F.col("n") > 1)).select("doc_id")
+    repeated = materialize(repeated, "repeated-ids")
+    least = heads.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    gone = docs_of.where(F.col("component").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").join(least, "doc_id", "left_anti")
+    gone = materialize(gone.unionByName(repeated).distinct(), "dropped-ids")
+    small = lambda df: F.broadcast(df) if df.count() <= cfg.max_broadcast_ids else df
+    kept = docs.where(F.col("doc_id").isNotNull()).join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    if repeated.isEmpty() and docs_of.where(F.col("doc_id").isNull()).isEmpty():
+        return kept
+    some = docs.join(small(repeated), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    name, one = fresh("digest", docs.columns), fresh("one", docs.columns)
+    some = _with_digest(some, name, cfg)
+    # of rows with the same id and set the first by a hash of all columns
+    each = F.struct(*docs.columns)
+    first = some.where(F.col(name).isNotNull()).groupBy("doc_id", name).agg(F.min_by(each, F.xxhash64(*docs.columns)).alias(one))
+    head_id, head_digest = fresh("head_id", [*docs.columns, name]), fresh("head_digest", [*docs.columns, name])
+    heads = heads.select(F.col("doc_id").alias(head_id), F.col("digest").alias(head_digest))
+    chosen = first.join(heads, F.col("doc_id").eqNullSafe(F.col(head_id)) & (F.col(name) == F.col(head_digest)), "left_semi")
+    return kept.unionByName(chosen.select(f"{one}.*")).unionByName(some.where(F.col(name).isNull()).select(*docs.columns))
