@@ -1,8 +1,9 @@
 """Corpus pipeline: toxicity, quality, near duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; results
-are written as Parquet in the shared folder and read again. Rows without a doc_id pass the
-near-duplicate stage. Labels are read from ``sf_dir``.
+are written as Parquet in the shared folder and read again. Labels are read from ``sf_dir``.
+Every stage takes null ids and texts, empty and very long texts, repeated rows and ids, further columns with any
+names and empty tables; what becomes of them is said at each stage.
 """
 
 from __future__ import annotations
@@ -15,34 +16,40 @@ from tidemark.llm.common import fresh, materialize, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity under 0.5 stay."""
+    """Documents with a toxicity under 0.5 stay, texts of any length compared whole. Null and empty texts have the score
+    of no evidence and stay; repeated rows have one score; without labels of both kinds nothing is rejected, unless all are toxic."""
     name = fresh("toxicity", docs.columns)
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, out_col=name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality of 0.7 or more stay."""
+    """Documents with a quality of 0.7 or more stay, texts of any length scored whole. Null and empty texts have the share
+    of good documents in training as score; repeated rows have one score. With no label at all there is nothing to judge by,
+    and every document stays."""
     name = fresh("quality_score", docs.columns)
-    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    labels = read(spark, sf_dir, "labels")
+    if labels.where("quality IN (0, 1)").isEmpty():
+        return docs
+    model = quality.fit(docs, labels)
     return quality.score(docs, model, out_col=name).where(F.col(name) >= 0.7).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the join the document with the smallest doc_id stays, once."""
-    linked = signature_join.linked_components(docs)
-    heads = linked.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Of each component of the join the document with the smallest doc_id stays, once (without any id: one of them). Different
+    texts of one id are judged by their own sets. Documents without words are linked with nothing and stay."""
+    return signature_join.representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it: not at all, once or twice. A null source is a source; documents without
+    words follow their rank; repeated rows are taken alike."""
     return mixing.mix(docs)
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket, batch and slot of each row."""
+    """Each row with its columns, and length, bucket, boundary, batch, slot and padding. Null and empty texts have length 0
+    and a bucket of their own; repeated rows are packed as often as they come."""
     return packing.pack(docs)
 
 
