@@ -95,7 +95,10 @@ def pack(docs: DataFrame, cfg: PackConfig = PackConfig(), length: Column | None
     t = {k: fresh(k, columns) for k in ("length", "bucket", "boundary", "batch", "slot", "padding", "u", "stream", "rank", "offset")}
     c = {k: F.col(v) for k, v in t.items()}
     by = uniform(cfg.seed, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))))
-    rows = docs.select(*columns, F.coalesce(size, F.lit(0)).alias(t["length"]), by.alias(t["u"]))
+    # a generator keeps the count of words from being repeated in every expression above it
+    both = F.explode(F.array(F.struct(F.coalesce(size, F.lit(0)).alias("length"), by.alias("u"))))
+    made = fresh("made", columns)
+    rows = docs.select(*columns, both.alias(made)).select(*columns, F.col(made)["length"].alias(t["length"]), F.col(made)["u"].alias(t["u"]))
     if "text" not in columns:
         rows = materialize(rows, "pack-lengths")  # numbers only: texts are read once
     histogram = rows.groupBy(c["length"]).count().collect()  # a row for each distinct length
