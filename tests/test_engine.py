@@ -102,7 +102,7 @@ def test_folder_is_reopened(spark, tmp_path):
     assert again.current_seqno() == 31 and again.run_count() == 2
     assert {bytes(r.user_key): bytes(r.value) for r in again.live().collect()} == {f"k{i:02d}".encode(): b"old" if i % 2 else b"new" for i in range(20)}
     store = again.store
-    assert store.file_ids() == [1, 2] and store.file_count() == 2 and store.total_bytes() > 0 and store.run_path(2).endswith("run_id=00000002")
+    assert store.file_ids() == [1, 2] and store.file_count() == 2 and store.total_bytes() > 0 and store.run_path(2).endswith(store.runs()[0].folder)
     assert store.rebuild_manifest() == store.runs()
     again.put(b"z", b"z")
     again.force_flush()
@@ -122,13 +122,85 @@ def test_runs_are_skipped_and_sorted(spark, tmp_path):
     rows = lambda a, b, s: spark.createDataFrame([(f"k{i:03d}", s + i, 0, "v") for i in range(a, b)], store.schema)
     store.flush(rows(0, 100, 1))
     store.flush(rows(100, 200, 1000))
-    assert store.read("k050").inputFiles() and all("run_id=00000001" in f for f in store.read("k050").inputFiles())
-    assert all("run_id=00000001" in f for f in store.read(as_of=500).inputFiles())
+    first = store.runs()[1].folder
+    assert store.read("k050").inputFiles() and all(first in f for f in store.read("k050").inputFiles())
+    assert all(first in f for f in store.read(as_of=500).inputFiles())
     assert store.read("zzz").count() == 0
     keys = [r.user_key for r in store.read_run(1).collect()]
     assert keys == sorted(keys)
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Both open the same state; the second to commit finds its version taken, reads the new state and tries again."""
+    root = f"file://{tmp_path}/s"
+    row = lambda k, s: spark.createDataFrame([(k, s, 0, "v")], "user_key string, seqno long, value_type int, value string")
+    a, b = RunStore(spark, root, RunOptions(), "string"), RunStore(spark, root, RunOptions(), "string")
+    a.flush(row("k1", 1))
+    stale, real, calls = b._state(), b._state, []
+    b._state = lambda: calls.append(1) or (stale if len(calls) == 1 else real())
+    a.flush(row("k2", 2))
+    assert b.flush(row("k3", 3)).run_id == 3 and len(calls) == 2
+    again = RunStore(spark, root, RunOptions(), "string")
+    assert sorted(r.user_key for r in again.read().collect()) == ["k1", "k2", "k3"] and again.rebuild_manifest() == again.runs()
+    # a flush between the reading and the commit of a compaction stays
+    publish, late = a._publish, []
+    a._publish = lambda *x: (late or late.append(b.flush(row("k4", 4)))) and publish(*x)
+    done = a.compact()
+    assert len(done["obsolete_runs"]) == 3 and sorted(r.user_key for r in again.read().collect()) == ["k1", "k2", "k3", "k4"] and again.file_count() == 2
+
+
+def test_readers_outlive_a_compaction(spark, tmp_path):
+    store = RunStore(spark, f"file://{tmp_path}/s", RunOptions(), "string")
+    for i in range(3):
+        store.flush(spark.createDataFrame([(f"k{i}", i + 1, 0, "v")], store.schema))
+    before, old = store.read(), {r.folder for r in store.runs()}
+    store.compact()
+    assert before.count() == 3 and store.vacuum() == []
+    assert set(store.vacuum(older_than=-60)) == old and store.read().count() == 3
+
+
+def test_tiers(spark, tmp_path):
+    """Small runs are merged among themselves; tombstones stay until the oldest run is merged."""
+    store = RunStore(spark, f"file://{tmp_path}/s", RunOptions(), "string")
+    text = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.md5(F.concat_ws("-", "id", k))))
+    store.flush(spark.range(2000).select(F.format_string("k%05d", "id").alias("user_key"), (F.col("id") + 1).alias("seqno"), F.lit(0).alias("value_type"), text.alias("value")))
+    for i in range(4):
+        store.flush(spark.createDataFrame([("k00007", 3000 + i, i % 2, None if i % 2 else "v")], store.schema))
+    done = store.compact_tier(4)
+    assert (done["input_entries"], done["output_entries"], len(done["obsolete_runs"])) == (4, 1, 4) and store.file_count() == 2
+    assert reads.newest(store.read()).where("user_key = 'k00007' AND value_type = 1").count() == 1
+    assert store.compact_tier(4)["obsolete_runs"] == [] and store.compact_tier(2)["obsolete_runs"] == []
+    assert store.compact()["output_entries"] == 1999
+
+
+def test_nonces_are_not_used_twice(spark, tmp_path):
+    """A run whose commit failed and its repetition, with the same id and seqnos, are sealed differently."""
+    store = EncryptedStore(RunStore(spark, f"file://{tmp_path}/s"), EncryptionKey(b"k" * 32))
+    rows = spark.createDataFrame([(bytearray(b"k"), 1, 0, bytearray(b"one value"))], store.schema)
+    lost = store._write_run(rows)
+    store.flush(rows)
+    stored = [bytes(spark.read.parquet(f"{store.root}/data/{f}").first().value) for f in (lost.folder, store.runs()[0].folder)]
+    assert stored[0][:12] != stored[1][:12] and bytes(store.read().first().value) == b"one value"
+    # files moved to another run's folder fail to open
+    store.flush(rows)
+    a, b = (r.folder for r in store.runs())
+    spark.read.parquet(f"{store.root}/data/{a}").write.mode("overwrite").parquet(f"{store.root}/data/{b}")
+    with pytest.raises(Exception):
+        store.read_run(1).collect()
+
+
+def test_streams_into_every_store(spark, store, tmp_path):
+    src = str(tmp_path / "in")
+    for i in range(5):
+        events(spark, 100).where(F.floor(F.col("event_id") / 20) == i).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(src)
+    changes = changelog(stream).select(F.col("user_key").cast("binary").alias("user_key"), F.col("seqno").alias("arrival"), "value_type", F.col("value").cast("binary").alias("value"))
+    ingest(changes, store, str(tmp_path / "checkpoint"), ["arrival"], EngineConfig(compaction_threshold=4)).awaitTermination()
+    assert store.last_batch() == 4 and len(store.runs()) < 5
+    want = {r.user_key.encode(): r.value.encode() for r in reads.live(changelog(events(spark, 100))).collect()}
+    assert {bytes(r.user_key): bytes(r.value) for r in reads.live(store.read()).collect()} == want
+
+
 def test_ciphertext_is_stored(spark, tmp_path):
     inner = RunStore(spark, f"file://{tmp_path}/s")
     db = Engine(spark, EncryptedStore(inner, EncryptionKey(b"k" * 32)), MANUAL)

@@ -8,7 +8,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import blockcodec, bloom, codec, crypto, integrity
+from tidemark.functions import blockcodec, bloom, codec, crypto, integrity, sortedfile
 from tidemark.model import RunOptions
 from tidemark.operators.blocks import pack_blocks
 
@@ -62,6 +62,29 @@ def test_distributed_filter_equals_local(spark):
         assert (r.n_keys, r.num_bits) == (len(own), 10 * len(own)) and bytes(r.bits) == bloom.build(own, 10)[1]
 
 
+def test_filters_are_split_by_keys(spark):
+    log = spark.range(3000).select(F.format_string("k%05d", "id").alias("user_key"), (F.col("id") % 2).alias("run_id"))
+    filters = bloom.build_filters(log, part_keys=400)
+    assert sorted((r.run_id, r.part, r.parts) for r in filters.collect()) == [(run, p, 4) for run in (0, 1) for p in range(4)]
+    assert bloom.probe_filters(filters, log).where("NOT may_contain").count() == 0
+    other = spark.range(3000).select(F.concat(F.lit("absent"), "id").alias("user_key"), (F.col("id") % 3).alias("run_id"))
+    missed = {r.run_id: r.m for r in bloom.probe_filters(filters, other).groupBy("run_id").agg(F.avg(F.col("may_contain").cast("int")).alias("m")).collect()}
+    assert missed[2] == 0 and max(missed.values()) < 0.02
+
+
+def test_checksums_against_plain_python(spark):
+    import zlib
+
+    rows = [(bytearray(b"a"), 1, 0, bytearray(b"x"), 1), (bytearray(b"b"), 2, 1, None, 1), (bytearray(b"c"), 3, 0, bytearray(b""), 2)]
+    want = {}
+    for k, s, t, v, run in rows:
+        c = zlib.crc32(codec_entry(bytes(k), s, t, bytes(v or b"")))
+        x, total, n = want.get(run, (0, 0, 0))
+        want[run] = (x ^ c, total + c, n + 1)
+    got = integrity.run_checksums(spark.createDataFrame(rows, SCHEMA + ", run_id long")).collect()
+    assert {r.run_id: (r.crc_xor, r.crc_sum, r.entries) for r in got} == want
+
+
 def test_checksums_notice_changes(spark):
     df = spark.createDataFrame([(bytearray(b"a"), 1, 0, bytearray(b"x"), 1), (bytearray(b"b"), 2, 0, bytearray(b"y"), 2)], SCHEMA + ", run_id long")
     expected = integrity.run_checksums(df)
@@ -108,6 +131,38 @@ def test_blocks_round_trip_and_search(spark):
     assert restarts[0] == 0 and len(restarts) == -(-len(entries) // 4)
 
 
+def test_sorted_files(spark):
+    """Versions that cross restart points, blocks and files are found through filter, index and block, as of any seqno."""
+    rows = [(bytearray(f"k{i:02d}".encode()), 1000 + i, 0, bytearray(b"n" * 30)) for i in range(20)]
+    rows += [(bytearray(b"k10"), i + 1, int(i % 7 == 0), None if i % 7 == 0 else bytearray(f"v{i}".encode())) for i in range(40)]
+    log = spark.createDataFrame(rows, SCHEMA).withColumn("run_id", (F.col("seqno") % 2).cast("long"))
+    files = sortedfile.build_files(log, RunOptions(block_size=200, restart_interval=4, target_file_bytes=500)).cache()
+    assert files.count() >= 4 and files.agg(F.sum("entries")).first()[0] == len(rows)
+    back = sortedfile.read_files(files).select("run_id", "user_key", "seqno", "value_type", "value")
+    assert sorted(back.collect()) == sorted(log.select(*back.columns).collect())
+    asked = [(bytearray(k), n) for k in (b"k10", b"k11", b"k00", b"zz", b"", b"k1") for n in (None, 0, 1, 5, 15, 22, 39, 40, 999, 1010, 1011)]
+    got = {(bytes(r.user_key), r.as_of): (r.status, r.seqno, r.value and bytes(r.value)) for r in sortedfile.point_get(files, spark.createDataFrame(asked, "user_key binary, as_of long")).collect()}
+    for k, n in asked:
+        seen = [(s, t, v) for key, s, t, v in rows if key == k and (n is None or s <= n)]
+        s, t, v = max(seen) if seen else (None, None, None)
+        assert got[bytes(k), n] == (("NotFound", "Found", "Deleted")[0 if t is None else 1 + t], s, bytes(v) if t == 0 else None), (k, n)
+    reader = sortedfile.SortedFile(bytes(files.first().data))
+    assert sum(reader.may_contain(f"x{i}".encode()) for i in range(500)) < 25
+
+
+def test_damaged_files_are_refused():
+    block = (lambda body: body + blockcodec.checksum(body))(codec_entry(b"k", 1, 0, b"v") + struct.pack(">III", 0, 1, 1))
+    good = sortedfile.write_file([block])
+    assert sortedfile.SortedFile(good).get(b"k") == (1, 0, b"v") and sortedfile.SortedFile(good).get(b"x") is None
+    assert list(sortedfile.SortedFile(sortedfile.write_file([])).rows()) == []
+    flip = lambda at: good[:at] + bytes([good[at] ^ 1]) + good[at + 1 :]
+    for bad in (b"", good[:50], good[:-1], good + b"x", flip(-1), flip(-10), flip(-60), flip(len(block) + 1), good[3:]):
+        with pytest.raises(sortedfile.DamagedFile):
+            sortedfile.SortedFile(bad)
+    with pytest.raises(ValueError):  # a block is checked when it is read
+        sortedfile.SortedFile(flip(4)).get(b"k")
+
+
 @pytest.mark.parametrize("damage", [lambda b: b[:10], lambda b: b[:-1] + bytes([b[-1] ^ 1]), lambda b: bytes([b[0] ^ 1]) + b[1:], lambda b: b""])
 def test_damaged_blocks_are_refused(damage):
     body = codec_entry(b"k", 1, 0, b"v") + struct.pack(">III", 0, 1, 1)

@@ -1,12 +1,14 @@
 """Blocks as bytes: built by aggregation, read back and searched in Arrow batches.
 
 A block is its entries, the offsets of its restart points (4 bytes each), their number (4), the number of
-entries (4), and a checksum of all before (16); numbers are big-endian. A search looks at all entries
-that may hold the key, so versions of a key on both sides of a restart point are found."""
+entries (4), and a checksum of all before (16); numbers are big-endian. A search halves the restart points by
+(key, newest first) and reads on from the last one before the version it wants, so versions of a key on both sides of a restart
+point are found."""
 
 from __future__ import annotations
 
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,15 +62,7 @@ def seal_blocks(payloads: DataFrame, run: str = "run_id") -> DataFrame:
 
 def parse_block(block: bytes) -> tuple[list[tuple[bytes, int, int, bytes]], list[int]]:
     """Entries and restart offsets; ValueError for too few bytes, a wrong checksum, bad counts or types."""
-    if len(block) < TAIL:
-        raise ValueError("a block has 24 bytes at least")
-    body = block[:-16]
-    if checksum(body) != block[-16:]:
-        raise ValueError("checksum mismatch")
-    restarts, count = struct.unpack(">II", body[-8:])
-    end = len(body) - 8 - 4 * restarts
-    if end < 0:
-        raise ValueError("restart points do not fit")
+    body, end, restarts, count = _body(block)
     offsets = list(struct.unpack(f">{restarts}I", body[end : end + 4 * restarts]))
     rows, at = [], 0
     for _ in range(count):
@@ -85,11 +79,43 @@ def parse_block(block: bytes) -> tuple[list[tuple[bytes, int, int, bytes]], list
     return rows, offsets
 
 
+def _body(block: bytes) -> tuple[bytes, int, int, int]:
+    """Contents without the checksum (which is checked), where the entries end, restart points, entries."""
+    if len(block) < TAIL:
+        raise ValueError("a block has 24 bytes at least")
+    body = block[:-16]
+    if checksum(body) != block[-16:]:
+        raise ValueError("checksum mismatch")
+    restarts, count = struct.unpack(">II", body[-8:])
+    end = len(body) - 8 - 4 * restarts
+    if end < 0:
+        raise ValueError("restart points do not fit")
+    return body, end, restarts, count
+
+
+def _entry(body: bytes, at: int) -> tuple[bytes, int, int, int, int]:
+    """Key, seqno, type, where the value begins and ends."""
+    (k,) = struct.unpack_from(">H", body, at)
+    seqno, kind, n = struct.unpack_from(">QBI", body, at + 2 + k)
+    return body[at + 2 : at + 2 + k], seqno, kind, at + 15 + k, at + 15 + k + n
+
+
 def search_block(block: bytes, key: bytes, limit: int = (1 << 63) - 1) -> tuple[int, int, bytes] | None:
     """(seqno, value_type, value) of the newest version of the key at or below ``limit``."""
-    rows, _ = parse_block(block)
-    seen = [r for r in rows if r[0] == key and r[1] <= limit]
-    return max(seen, key=lambda r: r[1])[1:] if seen else None
+    body, end, restarts, _ = _body(block)
+    wanted = (key, -limit)
+
+    def place(i: int) -> tuple[bytes, int]:
+        k, seqno, *_ = _entry(body, struct.unpack_from(">I", body, end + 4 * i)[0])
+        return k, -seqno
+
+    after = bisect_right(range(restarts), wanted, key=place)
+    at = struct.unpack_from(">I", body, end + 4 * max(after - 1, 0))[0] if restarts else 0
+    while at < end:
+        k, seqno, kind, begin, at = _entry(body, at)
+        if (k, -seqno) >= wanted:
+            return (seqno, kind, body[begin:at]) if k == key else None
+    return None
 
 
 def open_blocks(blocks: DataFrame, run: str = "run_id") -> DataFrame:

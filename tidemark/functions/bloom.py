@@ -1,24 +1,22 @@
-"""Bloom filters of runs: built by grouped aggregation, probed in Arrow batches.
+"""Bloom filters of runs: built by groups of keys, probed in Arrow batches.
 
-The filter stores its number of bits, so building and probing agree for every number of keys and
-there are no false negatives. Both hashes are scrambled before double hashing: taken as they are,
-numbered keys reach only some of the bits (4.9 % false positives at 10 bits a key instead of under
-1 %). Hashing is vectorised over keys of equal length."""
+A run's keys are dealt to parts of about ``part_keys`` keys by a hash, each with a filter of its own, so that no
+row holds the filter of a large run and no task all of its keys or probes. A filter stores its number of bits, so
+building and probing agree for every number of keys and there are no false negatives. A key's bits come
+from the two halves of one 128-bit hash, as many as are needed by repeated addition."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the filter's format.
 HASHES = 7
-SEED_1, PRIME_1 = 0xCBF29CE484222325, 0x100000001B3
-SEED_2, PRIME_2 = 0x517CC1B727220A95, 0x2127599BF4325C37
 LEAST_BITS = 64
+PART_KEYS = 1_000_000
 
 
 def filter_bits(keys: int, bits_per_key: int) -> int:
@@ -26,94 +24,62 @@ def filter_bits(keys: int, bits_per_key: int) -> int:
     return max(keys * bits_per_key, LEAST_BITS)
 
 
-def hash_pairs(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Both 64-bit hashes of each key: FNV-1a, and a multiply-then-xor hash."""
-    one, two = np.full(len(keys), SEED_1, np.uint64), np.full(len(keys), SEED_2, np.uint64)
-    by_length: dict[int, list[int]] = {}
-    for i, k in enumerate(keys):
-        by_length.setdefault(len(k), []).append(i)
-    for n, rows in by_length.items():
-        at = np.array(rows)
-        data = np.frombuffer(b"".join(keys[i] for i in rows), np.uint8).reshape(len(rows), n).astype(np.uint64)
-        a, b = one[at], two[at]
-        for j in range(n):
-            a = (a ^ data[:, j]) * np.uint64(PRIME_1)
-            b = (b * np.uint64(PRIME_2)) ^ data[:, j]
-        one[at], two[at] = a, b
-    return one, two
-
-
-def _scramble(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
 def positions(keys: list[bytes], bits: int) -> np.ndarray:
     """Keys x HASHES bit numbers."""
-    one, two = (_scramble(h) for h in hash_pairs(keys))
-    return (one[:, None] + np.arange(HASHES, dtype=np.uint64)[None, :] * two[:, None]) % np.uint64(bits)
+    halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), ">u8").astype(np.uint64).reshape(-1, 2)
+    return (halves[:, :1] + np.arange(HASHES, dtype=np.uint64) * (halves[:, 1:] | np.uint64(1))) % np.uint64(bits)
 
 
 def build(keys: list[bytes], bits_per_key: int) -> tuple[int, bytes]:
     """(number of bits, bytes); the lowest bit of a byte comes first."""
     bits = filter_bits(len(keys), bits_per_key)
-    on = np.zeros(-(-bits // 8) * 8, np.uint8)
+    on = np.zeros(-(-bits // 8), np.uint8)
     if keys:
-        on[positions(keys, bits).ravel().astype(np.int64)] = 1
-    return bits, np.packbits(on, bitorder="little").tobytes()
+        at = positions(keys, bits).ravel()
+        np.bitwise_or.at(on, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    return bits, on.tobytes()
 
 
 def may_contain(keys: list[bytes], bits: int, data: bytes) -> np.ndarray:
     """False only for keys that are not in the filter."""
-    at = positions(keys, bits).astype(np.int64)
-    raw = np.frombuffer(data, np.uint8)
+    if not keys:
+        return np.zeros(0, bool)
+    at, raw = positions(keys, bits).astype(np.int64), np.frombuffer(data, np.uint8)
     return ((raw[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
 
 
-def build_filters(log: DataFrame, bits_per_key: int = 10, run: str = "run_id") -> DataFrame:
-    """(run, n_keys, num_bits, bits) of each run, over the keys of all its versions. Bits are set
-    per part of a run and parts are joined by OR, so no task needs all keys of a run."""
-    sizes = log.groupBy(run).agg(F.count(F.lit(1)).alias("n_keys"))  # one row a run
-    sized = log.select(run, F.col("user_key").cast("binary").alias("_key")).join(F.broadcast(sizes), run)
+def _part(key: Column, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(key.cast("binary")), parts).cast("int")
+
+
+def build_filters(log: DataFrame, bits_per_key: int = 10, run: str = "run_id", part_keys: int = PART_KEYS) -> DataFrame:
+    """(run, part, parts, n_keys, num_bits, bits): the filters of each run, over the keys of all its versions."""
+    sizes = log.groupBy(run).agg(F.ceil(F.count(F.lit(1)) / part_keys).cast("int").alias("parts"))  # one row a run
+    keyed = log.select(run, F.col("user_key").cast("binary").alias("key")).join(F.broadcast(sizes), run).withColumn("part", _part(F.col("key"), F.col("parts")))
     kind = log.schema[run].dataType.simpleString()
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[object, tuple[int, int, np.ndarray]] = {}
-        for batch in batches:
-            ids, keys, counts = (batch.column(i).to_pylist() for i in range(3))
-            groups: dict[object, list[int]] = {}
-            for i, r in enumerate(ids):
-                groups.setdefault(r, []).append(i)
-            for r, rows in groups.items():
-                if r not in held:
-                    bits = filter_bits(counts[rows[0]], bits_per_key)
-                    held[r] = (counts[rows[0]], bits, np.zeros(-(-bits // 8) * 8, bool))
-                held[r][2][positions([keys[i] for i in rows], held[r][1]).ravel().astype(np.int64)] = True
-        for r, (n, bits, on) in held.items():
-            yield pa.RecordBatch.from_pydict({run: [r], "n_keys": [n], "num_bits": [bits], "bits": [np.packbits(on, bitorder="little").tobytes()]})
-
-    def join_parts(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()]
-        whole = np.bitwise_or.reduce(parts).tobytes()
-        return pa.table({run: table.column(run).slice(0, 1), "n_keys": table.column("n_keys").slice(0, 1), "num_bits": table.column("num_bits").slice(0, 1), "bits": pa.array([whole], pa.binary())})
-
-    shape = f"{run} {kind}, n_keys long, num_bits long, bits binary"
-    return sized.mapInArrow(partial, shape).groupBy(run).applyInArrow(join_parts, shape)
+    def make(table: pa.Table) -> pa.Table:
+        keys = table.column("key").to_pylist()
+        bits, data = build(keys, bits_per_key)
+        first = {c: table.column(c).slice(0, 1) for c in (run, "part", "parts")}
+        return pa.table({**first, "n_keys": pa.array([len(keys)], pa.int64()), "num_bits": pa.array([bits], pa.int64()), "bits": pa.array([data], pa.binary())})
+
+    return keyed.groupBy(run, "part").applyInArrow(make, f"{run} {kind}, part int, parts int, n_keys long, num_bits long, bits binary")
 
 
 def probe_filters(filters: DataFrame, probes: DataFrame, run: str = "run_id") -> DataFrame:
-    """``probes`` (run, user_key) with may_contain. Probes meet their run's filter in one group."""
+    """``probes`` (run, user_key) with may_contain. Probes meet their part of the run's filter in one group;
+    a run without filters holds no key."""
     kind = filters.schema[run].dataType.simpleString()
     key_kind = probes.schema["user_key"].dataType.simpleString()
+    parts = filters.groupBy(run).agg(F.max("parts").alias("parts"))  # one row a run
+    asked = probes.select(run, "user_key").join(F.broadcast(parts), run, "left")
+    asked = asked.withColumn("part", F.coalesce(_part(F.col("user_key"), F.col("parts")), F.lit(0))).drop("parts")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = right.column("user_key").cast(pa.binary()).to_pylist()
-        if left.num_rows:
-            hit = may_contain(keys, left.column("num_bits")[0].as_py(), left.column("bits")[0].as_py())
-        else:
-            hit = np.zeros(len(keys), bool)
+        hit = may_contain(keys, left.column("num_bits")[0].as_py(), left.column("bits")[0].as_py()) if left.num_rows else np.zeros(len(keys), bool)
         return pa.table({run: right.column(run), "user_key": right.column("user_key"), "may_contain": pa.array(hit, pa.bool_())})
 
-    both = filters.groupBy(run).cogroup(probes.select(run, "user_key").groupBy(run))
+    both = filters.groupBy(run, "part").cogroup(asked.groupBy(run, "part"))
     return both.applyInArrow(check, f"{run} {kind}, user_key {key_kind}, may_contain boolean")

@@ -12,9 +12,13 @@ from ..functions.names import fresh
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share (spark.checkpoint.dir; where that is unset, as in
-    tests, a temporary folder)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidemark-scratch"
+    """A new folder that driver and executors share (spark.checkpoint.dir; where that is unset and both are
+    one process, a temporary folder; otherwise an error)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/tidemark-scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -1,5 +1,6 @@
-"""A store whose values are encrypted at rest: wraps another store and binds every value to the run
-that it was first written to."""
+"""A store whose values are encrypted at rest. Every value is bound to the folder of the run in which it
+lies: a random name of each attempt to write a run, so no name, and with it no nonce, is used twice, even where
+run ids and seqnos are given out again after a failure."""
 
 from __future__ import annotations
 
@@ -8,56 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.crypto import EncryptionKey, decrypt_values, encrypt_values
-from ..operators.compaction import merge
-from .runs import RunMeta, RunStore
+from ..functions.names import fresh
+from .runs import RunStore
 
 
-class EncryptedStore:
-    """Values are encrypted before they reach the inner store and decrypted (and authenticated) when
-    they are read. ``inner`` gives the stored ciphertext."""
+class EncryptedStore(RunStore):
+    """The runs of ``inner``, encrypted before they are written and decrypted (and authenticated) when they
+    are read. ``inner`` gives the stored ciphertext. Compaction seals values anew for the merged run."""
 
     def __init__(self, inner: RunStore, key: EncryptionKey):
         if inner.schema["value"].dataType != T.BinaryType():
             raise ValueError("the inner store must hold binary values")
+        super().__init__(inner.spark, inner.root, inner.options, inner.schema["user_key"].dataType.simpleString())
         self.inner, self._key = inner, key
 
-    def _sealed(self, rows: DataFrame, run_id: int) -> DataFrame:
-        return encrypt_values(rows.withColumn("run_id", F.lit(run_id).cast("long")), self._key).drop("run_id")
-
-    def _opened(self, rows: DataFrame, run_id: int) -> DataFrame:
-        return decrypt_values(rows.withColumn("run_id", F.lit(run_id).cast("long")), self._key).drop("run_id")
-
-    def flush(self, rows: DataFrame) -> RunMeta:
-        return self.inner.flush(self._sealed(rows, self.inner._state()[1]))
-
-    def read_run(self, run_id: int) -> DataFrame:
-        return self._opened(self.inner.read_run(run_id), run_id)
-
-    def read(self, key: object | None = None, as_of: int | None = None) -> DataFrame:
-        log = self.inner.spark.createDataFrame([], self.inner.schema)
-        for r in self.inner.runs():
-            if (key is None or r.first_key <= key <= r.last_key) and (as_of is None or r.min_seqno <= as_of):
-                part = self.inner.read_run(r.run_id)
-                if key is not None:
-                    part = part.where(F.col("user_key") == F.lit(key))
-                log = log.unionByName(self._opened(part, r.run_id))
-        return log if as_of is None else log.where(F.col("seqno") <= as_of)
-
-    def compact(self, drop_tombstones: bool = True) -> dict[str, object]:
-        """As the inner store's, with values sealed anew for the merged run."""
-        runs, next_run, version = self.inner._state()
-        if len(runs) <= 1:
-            return {"new_runs": [], "obsolete_runs": [], "input_entries": 0, "output_entries": 0}
-        rows = merge([self.read_run(r.run_id) for r in runs], drop_tombstones)
-        meta = self.inner._write_run(self._sealed(rows, next_run), next_run)
-        self.inner._commit([meta] if meta else [], next_run + 1, version + 1)
-        self.inner.vacuum()
-        return {
-            "new_runs": [meta.run_id] if meta else [],
-            "obsolete_runs": [r.run_id for r in runs],
-            "input_entries": sum(r.num_entries for r in runs),
-            "output_entries": meta.num_entries if meta else 0,
-        }
-
-    def __getattr__(self, name: str):
-        return getattr(self.inner, name)
+    def _sealed(self, rows: DataFrame, folder: str) -> DataFrame:
+        name = fresh("run_folder", rows.columns)
+        return encrypt_values(rows.withColumn(name, F.lit(folder)), self._key, name).drop(name)
+
+    def _opened(self, rows: DataFrame) -> DataFrame:
+        name = fresh("run_folder", rows.columns)
+        folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
+        return decrypt_values(rows.withColumn(name, folder), self._key, name).drop(name)

@@ -16,7 +16,11 @@ class MemoryStore:
         self.schema = T._parse_datatype_string(f"user_key {key_type}, seqno long, value_type int, value {key_type}")
         self._tables: dict[int, DataFrame] = {}
         self._meta: dict[int, RunMeta] = {}
-        self._next = 1
+        self._next, self._batch = 1, -1
+
+    def last_batch(self) -> int:
+        """The stream batch that was flushed last; -1 if there is none."""
+        return self._batch
 
     def runs(self) -> list[RunMeta]:
         return [self._meta[i] for i in sorted(self._meta, reverse=True)]
@@ -24,7 +28,7 @@ class MemoryStore:
     def manifest(self) -> DataFrame:
         key = self.schema["user_key"].dataType.simpleString()
         shape = f"run_id long, num_entries long, min_seqno long, max_seqno long, first_key {key}, last_key {key}, file_size long"
-        return self.spark.createDataFrame([tuple(vars(r).values()) for r in self.runs()], shape)
+        return self.spark.createDataFrame([tuple(vars(r).values())[:-1] for r in self.runs()], shape)
 
     def _put(self, rows: DataFrame) -> RunMeta | None:
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).persist()
@@ -33,15 +37,18 @@ class MemoryStore:
         if not m[0]:
             rows.unpersist()
             return None
-        meta = RunMeta(self._next, *m)
+        meta = RunMeta(self._next, *m)  # file_size: bytes of the entries
         self._tables[self._next], self._meta[self._next] = rows, meta
         self._next += 1
         return meta
 
-    def flush(self, rows: DataFrame) -> RunMeta:
+    def flush(self, rows: DataFrame, batch: int | None = None) -> RunMeta | None:
+        if batch is not None and batch <= self._batch:
+            return None
         meta = self._put(rows)
         if meta is None:
             raise ValueError("nothing to write: the table is empty")
+        self._batch = self._batch if batch is None else batch
         return meta
 
     def compact(self, drop_tombstones: bool = True) -> dict[str, object]:
@@ -58,6 +65,10 @@ class MemoryStore:
             "output_entries": meta.num_entries if meta else 0,
         }
 
+    def compact_tier(self, least: int = 4, ratio: float = 2.0) -> dict[str, object]:
+        """Runs in memory are merged all at once."""
+        return self.compact() if len(self._meta) >= least else {"new_runs": [], "obsolete_runs": [], "input_entries": 0, "output_entries": 0}
+
     def delete_run(self, run_id: int) -> None:
         if run_id not in self._tables:
             raise FileNotFoundError(f"run {run_id}")

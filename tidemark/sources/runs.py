@@ -1,16 +1,24 @@
 """Sorted runs in a shared folder, listed by a manifest.
 
-Layout: ``data/run_id=<id>/*.parquet`` (immutable, sorted by key and newest version first, with Parquet
-bloom filters on the key) and ``manifest/v<version>.parquet`` (one row a run). A commit writes a new
-manifest; a reader takes the last one. Rows become visible with their manifest only, so a write
-that fails or is repeated leaves nothing behind but files that no manifest lists. Reopening a
-store needs nothing but its folder."""
+Layout: ``data/<random name>/*.parquet`` (a run: immutable, sorted by key and newest version first, with Parquet
+bloom filters on the key) and ``manifest/v<version>.json`` (the runs of a version). Every attempt to write a run has a
+folder of its own, so no writer touches another's files. A commit publishes the next version by a rename
+that never replaces a file; a writer that comes second reads the new state and tries again, so runs of
+several writers are all kept (seqnos are the writers' business). Rows become visible with their manifest only, and folders
+that no manifest lists, those of failed attempts or of runs that were compacted, stay until ``vacuum``, so that readers of an
+earlier version go on. The rename is atomic on HDFS and local disks; an object store needs a committer
+that has conditional writes. Reopening a store needs nothing but its folder."""
 
 from __future__ import annotations
 
+import base64
+import json
+import time
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +36,7 @@ class RunMeta:
     first_key: object
     last_key: object
     file_size: int
+    folder: str = ""
 
 
 def describe_runs(log: DataFrame, run: str = "run_id") -> DataFrame:
@@ -51,9 +60,7 @@ class RunStore:
         self.spark, self.root, self.options = spark, root.rstrip("/"), options
         self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self.schema = T._parse_datatype_string(f"user_key {key_type}, seqno long, value_type int, value {key_type}")
-        self._manifest_schema = T._parse_datatype_string(
-            f"run_id long, num_entries long, min_seqno long, max_seqno long, first_key {key_type}, last_key {key_type}, file_size long, next_run long, last_batch long"
-        )
+        self._binary = key_type == "binary"
 
     # --- files -------------------------------------------------------------------------------
     def _path(self, *parts: str):
@@ -62,9 +69,15 @@ class RunStore:
     def _fs(self):
         return self._path("x").getFileSystem(self._conf)
 
+    def _run(self, run_id: int) -> RunMeta:
+        found = [r for r in self.runs() if r.run_id == run_id]
+        if not found:
+            raise FileNotFoundError(f"{self.root}: run {run_id}")
+        return found[0]
+
     def run_path(self, run_id: int) -> str:
-        """Where a run is: ids map to folders."""
-        return f"{self.root}/data/run_id={run_id:08d}"
+        """Where a run is; an unknown id is an error."""
+        return f"{self.root}/data/{self._run(run_id).folder}"
 
     def _versions(self) -> list[int]:
         folder = self._path("manifest")
@@ -74,16 +87,24 @@ class RunStore:
         return sorted(int(n[1:].split(".")[0]) for n in names if n.startswith("v"))
 
     # --- manifest ----------------------------------------------------------------------------
-    def _state(self) -> tuple[list[RunMeta], int, int]:
-        """(runs newest first, next run id, version)."""
-        self._last_batch = -1
+    def _key_out(self, key: object) -> str:
+        return base64.b64encode(bytes(key)).decode() if self._binary else str(key)
+
+    def _key_in(self, text: str) -> object:
+        return bytearray(base64.b64decode(text)) if self._binary else text
+
+    def _state(self) -> tuple[list[RunMeta], int, int, int]:
+        """(runs newest first, next run id, last stream batch, version)."""
         versions = self._versions()
         if not versions:
-            return [], 1, 0
-        rows = self.spark.read.schema(self._manifest_schema).parquet(str(self._path("manifest", f"v{versions[-1]:010d}.parquet"))).collect()
-        runs = [RunMeta(r.run_id, r.num_entries, r.min_seqno, r.max_seqno, r.first_key, r.last_key, r.file_size) for r in rows if r.run_id is not None]
-        self._last_batch = max(r.last_batch for r in rows)
-        return sorted(runs, key=lambda r: -r.run_id), max(r.next_run for r in rows), versions[-1]
+            return [], 1, -1, 0
+        stream = self._fs().open(self._path("manifest", f"v{versions[-1]:010d}.json"))
+        try:
+            state = json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        finally:
+            stream.close()
+        runs = [replace(RunMeta(**r), first_key=self._key_in(r["first_key"]), last_key=self._key_in(r["last_key"])) for r in state["runs"]]
+        return sorted(runs, key=lambda r: -r.run_id), state["next_run"], state["last_batch"], versions[-1]
 
     def runs(self) -> list[RunMeta]:
         """Runs, newest first."""
@@ -91,103 +112,159 @@ class RunStore:
 
     def last_batch(self) -> int:
         """The stream batch committed last; -1 if there is none."""
-        self._state()
-        return self._last_batch
+        return self._state()[2]
 
     def manifest(self) -> DataFrame:
         """The manifest as a table, newest run first."""
-        rows = [(r.run_id, r.num_entries, r.min_seqno, r.max_seqno, r.first_key, r.last_key, r.file_size) for r in self.runs()]
-        return self.spark.createDataFrame(rows, T.StructType(self._manifest_schema.fields[:-2]))
-
-    def _commit(self, runs: list[RunMeta], next_run: int, version: int) -> None:
-        """Publish a version by renaming a finished folder; a version that is there is never replaced."""
-        rows = [(r.run_id, r.num_entries, r.min_seqno, r.max_seqno, r.first_key, r.last_key, r.file_size, next_run, self._last_batch) for r in runs]
-        rows = rows or [(*[None] * 7, next_run, self._last_batch)]
-        draft = f"draft-{uuid.uuid4().hex}"
-        self.spark.createDataFrame(rows, self._manifest_schema).coalesce(1).write.parquet(str(self._path("manifest", draft)))
-        final = self._path("manifest", f"v{version:010d}.parquet")
-        hadoop = self._jvm.org.apache.hadoop.fs
-        options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
-        hadoop.FileContext.getFileContext(final.toUri(), self._conf).rename(self._path("manifest", draft), final, options)
+        key = self.schema["user_key"].dataType.simpleString()
+        shape = f"run_id long, num_entries long, min_seqno long, max_seqno long, first_key {key}, last_key {key}, file_size long"
+        return self.spark.createDataFrame([tuple(vars(r).values())[:-1] for r in self.runs()], shape)
+
+    def _publish(self, runs: list[RunMeta], next_run: int, last_batch: int, version: int) -> bool:
+        """Publish a version by renaming a finished file; False if another writer was first."""
+        listed = [asdict(replace(r, first_key=self._key_out(r.first_key), last_key=self._key_out(r.last_key))) for r in runs]
+        draft = self._path("manifest", f"draft-{uuid.uuid4().hex}")
+        out = self._fs().create(draft, False)
+        out.write(bytearray(json.dumps({"runs": listed, "next_run": next_run, "last_batch": last_batch}).encode()))
+        out.close()
+        final = self._path("manifest", f"v{version:010d}.json")
+        options = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self._conf).rename(draft, final, options)
+        except Py4JJavaError as e:
+            self._fs().delete(draft, False)
+            if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+    def _commit(self, change: Callable[[list[RunMeta], int, int], tuple[list[RunMeta], int, int] | None]) -> None:
+        """Apply ``change`` to the newest state until no other writer comes between; None: nothing to do."""
+        while True:
+            runs, next_run, last_batch, version = self._state()
+            new = change(runs, next_run, last_batch)
+            if new is None or self._publish(*new, version + 1):
+                return
 
     # --- writes ------------------------------------------------------------------------------
-    def _write_run(self, rows: DataFrame, run_id: int) -> RunMeta | None:
-        path = self.run_path(run_id)
-        self._fs().delete(self._path("data", f"run_id={run_id:08d}"), True)  # left by a failed attempt
-        ordered = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
+    def _sealed(self, rows: DataFrame, folder: str) -> DataFrame:
+        """Rows as they are stored in a folder."""
+        return rows
+
+    def _opened(self, rows: DataFrame) -> DataFrame:
+        """Stored rows as they were written."""
+        return rows
+
+    def _write_run(self, rows: DataFrame) -> RunMeta | None:
+        """A run that no manifest lists yet; its id is given by the commit."""
+        folder = uuid.uuid4().hex
+        path = f"{self.root}/data/{folder}"
+        ordered = self._sealed(rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]), folder)
         ordered = ordered.repartitionByRange("user_key").sortWithinPartitions("user_key", F.desc("seqno"))
-        writer = ordered.write.option("parquet.bloom.filter.enabled#user_key", str(self.options.bloom_bits_per_key > 0).lower())
+        bits = self.options.bloom_bits_per_key
+        writer = ordered.write.option("parquet.bloom.filter.enabled#user_key", str(bits > 0).lower())
+        if bits > 0:
+            # the filter's size follows the number of keys in a file
+            writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.fpp#user_key", str(0.6185**bits))
         writer.parquet(path)
         done = self.spark.read.schema(self.schema).parquet(path)
         m = done.agg(F.count(F.lit(1)), F.min("seqno"), F.max("seqno"), F.min("user_key"), F.max("user_key")).first()
         if not m[0]:
-            self._fs().delete(self._path("data", f"run_id={run_id:08d}"), True)
+            self._fs().delete(self._path("data", folder), True)  # this attempt's own
             return None
-        size = self._fs().getContentSummary(self._path("data", f"run_id={run_id:08d}")).getLength()
-        return RunMeta(run_id, m[0], m[1], m[2], m[3], m[4], size)
+        size = self._fs().getContentSummary(self._path("data", folder)).getLength()
+        return RunMeta(0, m[0], m[1], m[2], m[3], m[4], size, folder)
 
-    def flush(self, rows: DataFrame, batch: int | None = None) -> RunMeta:
+    def flush(self, rows: DataFrame, batch: int | None = None) -> RunMeta | None:
         """Write rows as the newest run. No rows: ValueError, and no run. ``batch``: the number of the
-        stream batch that the rows are; it is committed with them."""
-        runs, next_run, version = self._state()
-        meta = self._write_run(rows, next_run)
-        if meta is None:
+        stream batch that the rows are; it is committed with them, once: None if another attempt did it."""
+        made = self._write_run(rows)
+        if made is None:
             raise ValueError("nothing to write: the table is empty")
-        if batch is not None:
-            self._last_batch = batch
-        self._commit([meta, *runs], next_run + 1, version + 1)
-        return meta
+        out: list[RunMeta] = []
+
+        def add(runs: list[RunMeta], next_run: int, last_batch: int):
+            out.clear()
+            if batch is not None and batch <= last_batch:
+                return None
+            out.append(replace(made, run_id=next_run))
+            return [out[0], *runs], next_run + 1, last_batch if batch is None else batch
+
+        self._commit(add)
+        return out[0] if out else None
 
     def compact(self, drop_tombstones: bool = True) -> dict[str, object]:
         """Merge all runs into one. Up to one run: nothing happens. If nothing is left, there is no new
-        run, and the inputs are obsolete all the same."""
-        runs, next_run, version = self._state()
+        run, and the inputs are obsolete all the same. Runs that others flush meanwhile stay."""
+        return self._merge(self.runs(), drop_tombstones)
+
+    def compact_tier(self, least: int = 4, ratio: float = 2.0) -> dict[str, object]:
+        """Merge the newest runs as long as the next is no larger than ``ratio`` times all before it, if they are
+        ``least`` or more: a row is rewritten about as often as the store doubles, not at every compaction.
+        Tombstones go only when the oldest run is merged too."""
+        runs, total, n = self.runs(), 0, 0
+        while n < len(runs) and (n == 0 or runs[n].file_size <= ratio * total):
+            total, n = total + runs[n].file_size, n + 1
+        return self._merge(runs[:n] if n >= least else [], n == len(runs))
+
+    def _merge(self, runs: list[RunMeta], drop_tombstones: bool) -> dict[str, object]:
         if len(runs) <= 1:
             return {"new_runs": [], "obsolete_runs": [], "input_entries": 0, "output_entries": 0}
-        meta = self._write_run(merge([self.read_run(r.run_id) for r in runs], drop_tombstones), next_run)
-        self._commit([meta] if meta else [], next_run + 1, version + 1)
-        for r in runs:
-            self._fs().delete(self._path("data", f"run_id={r.run_id:08d}"), True)
+        made = self._write_run(merge([self._read_runs([r]) for r in runs], drop_tombstones))
+        old, out = {r.run_id for r in runs}, []
+
+        def swap(now: list[RunMeta], next_run: int, last_batch: int):
+            if not old <= {r.run_id for r in now}:
+                raise RuntimeError("another writer has compacted these runs")
+            out[:] = [replace(made, run_id=next_run)] if made else []
+            return [*out, *[r for r in now if r.run_id not in old]], next_run + 1, last_batch
+
+        self._commit(swap)
         return {
-            "new_runs": [meta.run_id] if meta else [],
+            "new_runs": [r.run_id for r in out],
             "obsolete_runs": [r.run_id for r in runs],
             "input_entries": sum(r.num_entries for r in runs),
-            "output_entries": meta.num_entries if meta else 0,
+            "output_entries": made.num_entries if made else 0,
         }
 
     def delete_run(self, run_id: int) -> None:
         """Take a run out; an unknown id is an error."""
-        runs, next_run, version = self._state()
-        if run_id not in {r.run_id for r in runs}:
-            raise FileNotFoundError(self.run_path(run_id))
-        self._commit([r for r in runs if r.run_id != run_id], next_run, version + 1)
-        self._fs().delete(self._path("data", f"run_id={run_id:08d}"), True)
-
-    def vacuum(self) -> list[int]:
-        """Delete folders that the manifest does not list; returns their ids."""
-        live = {r.run_id for r in self.runs()}
-        folder = self._path("data")
-        found = [int(s.getPath().getName().split("=")[1]) for s in self._fs().listStatus(folder)] if self._fs().exists(folder) else []
-        for run_id in (dead := sorted(set(found) - live)):
-            self._fs().delete(self._path("data", f"run_id={run_id:08d}"), True)
+
+        def drop(runs: list[RunMeta], next_run: int, last_batch: int):
+            if run_id not in {r.run_id for r in runs}:
+                raise FileNotFoundError(f"{self.root}: run {run_id}")
+            return [r for r in runs if r.run_id != run_id], next_run, last_batch
+
+        self._commit(drop)
+
+    def vacuum(self, older_than: float = 3600.0) -> list[str]:
+        """Delete run folders that the manifest does not list and that were last changed over ``older_than`` seconds ago (younger
+        ones may belong to a writer, or to readers of an earlier version); returns their names."""
+        live, folder = {r.folder for r in self.runs()}, self._path("data")
+        found = list(self._fs().listStatus(folder)) if self._fs().exists(folder) else []
+        limit = (time.time() - older_than) * 1000
+        dead = sorted(s.getPath().getName() for s in found if s.getPath().getName() not in live and s.getModificationTime() <= limit)
+        for name in dead:
+            self._fs().delete(self._path("data", name), True)
         return dead
 
     # --- reads -------------------------------------------------------------------------------
     def exists(self, run_id: int) -> bool:
-        return self._fs().exists(self._path("data", f"run_id={run_id:08d}"))
+        return any(r.run_id == run_id and self._fs().exists(self._path("data", r.folder)) for r in self.runs())
+
+    def _read_runs(self, runs: list[RunMeta]) -> DataFrame:
+        if not runs:
+            return self.spark.createDataFrame([], self.schema)
+        return self._opened(self.spark.read.schema(self.schema).parquet(*[f"{self.root}/data/{r.folder}" for r in runs]))
 
     def read_run(self, run_id: int) -> DataFrame:
-        if not self.exists(run_id):
-            raise FileNotFoundError(self.run_path(run_id))
-        return self.spark.read.schema(self.schema).parquet(self.run_path(run_id))
+        return self._read_runs([self._run(run_id)])
 
     def read(self, key: object | None = None, as_of: int | None = None) -> DataFrame:
-        """The log over all runs. With a key or a seqno limit, runs whose ranges exclude them are not
-        opened, and the predicates reach the scans of the others."""
-        keep = [r for r in self.runs() if (key is None or r.first_key <= key <= r.last_key) and (as_of is None or r.min_seqno <= as_of)]
-        if not keep:
-            return self.spark.createDataFrame([], self.schema)
-        log = self.spark.read.schema(self.schema).parquet(*[self.run_path(r.run_id) for r in keep])
+        """The log over all runs, as of the manifest's newest version. With a key or a seqno limit, runs whose ranges exclude them are
+        not opened, and the predicates reach the scans of the others."""
+        runs = [r for r in self.runs() if (key is None or r.first_key <= key <= r.last_key) and (as_of is None or r.min_seqno <= as_of)]
+        log = self._read_runs(runs)
         if key is not None:
             log = log.where(F.col("user_key") == F.lit(key))
         return log if as_of is None else log.where(F.col("seqno") <= as_of)
@@ -207,5 +284,5 @@ class RunStore:
         out = []
         for r in self.runs():
             m = self.read_run(r.run_id).agg(F.count(F.lit(1)), F.min("seqno"), F.max("seqno"), F.min("user_key"), F.max("user_key")).first()
-            out.append(RunMeta(r.run_id, m[0], m[1], m[2], m[3], m[4], r.file_size))
+            out.append(RunMeta(r.run_id, m[0], m[1], m[2], m[3], m[4], r.file_size, r.folder))
         return out

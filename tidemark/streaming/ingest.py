@@ -2,19 +2,15 @@
 
 A micro-batch is the flush unit: it becomes one run. The batch's number is committed with its run, in
 one manifest, so a batch that is repeated after a failure is written once. One stream writes to a
-store."""
+store. Runs are merged by tiers of size, so rows are not rewritten at every compaction."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
 
-from ..model import PUT, EngineConfig
+from ..model import EngineConfig
 from ..operators.compaction import should_compact
 from ..operators.numbering import numbered
 from ..sources.runs import RunStore
@@ -22,7 +18,7 @@ from ..sources.runs import RunStore
 
 def ingest(changes: DataFrame, store: RunStore, checkpoint: str, order: list[str], config: EngineConfig = EngineConfig(), trigger: dict | None = None) -> StreamingQuery:
     """Write a stream of (user_key, value_type, value, ...) rows to ``store``. Each batch's rows get the
-    next seqnos in the order of ``order``; runs are compacted at the threshold."""
+    next seqnos in the order of ``order``; runs are compacted from the threshold on."""
 
     def flush(batch: DataFrame, batch_id: int) -> None:
         if batch_id <= store.last_batch() or batch.isEmpty():
@@ -31,34 +27,18 @@ def ingest(changes: DataFrame, store: RunStore, checkpoint: str, order: list[str
         rows = numbered(batch, order, start, "seqno")
         store.flush(rows.select("user_key", "seqno", F.col("value_type").cast("int"), "value"), batch_id)
         if should_compact(len(store.runs()), config):
-            store.compact()
+            store.compact_tier(config.compaction_threshold)
 
     writer = changes.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def newest_state(changes: DataFrame) -> DataFrame:
-    """Stream of (user_key, seqno, value_type, value): each batch gives the keys whose newest version
-    changed. One version a key is kept as state; late, older versions change nothing."""
-    kind = changes.schema["value"].dataType.simpleString()
-    key = changes.schema["user_key"].dataType.simpleString()
-
-    def update(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else (0, PUT, None)
-        before = best[0]
-        for f in frames:
-            top = f.loc[f["seqno"].idxmax()]
-            if int(top["seqno"]) > best[0]:
-                value = top["value"]
-                best = (int(top["seqno"]), int(top["value_type"]), None if value is None or value is pd.NA else value)
-        if best[0] > before:
-            state.update(best)
-            yield pd.DataFrame({"user_key": [group[0]], "seqno": [best[0]], "value_type": [best[1]], "value": [best[2]]})
-
-    rows = changes.select("user_key", F.col("seqno").cast("long"), F.col("value_type").cast("int"), "value")
-    return rows.groupBy("user_key").applyInPandasWithState(
-        update, f"user_key {key}, seqno long, value_type int, value {kind}", f"seqno long, value_type int, value {kind}", "update", "NoTimeout"
-    )
+    """Stream of (user_key, seqno, value_type, value), in update mode: each batch gives the keys that it
+    has rows of, with their newest version so far. One version a key is kept as state, in the JVM; late, older versions change nothing."""
+    version = F.struct(F.col("seqno").cast("long").alias("seqno"), F.col("value_type").cast("int").alias("value_type"), "value")
+    newest = changes.groupBy("user_key").agg(F.max_by(version, F.col("seqno").cast("long")).alias("v"))
+    return newest.select("user_key", "v.seqno", "v.value_type", "v.value")
 
 
 def windowed_activity(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
