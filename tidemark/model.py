@@ -11,42 +11,19 @@ Keys compare as unsigned bytes. All operators take the key column as it is: STRI
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 PUT, DELETE = 0, 1
 MAX_KEY_BYTES = (1 << 16) - 1
 MAX_VALUE_BYTES = (1 << 31) - 1  # of one Spark value; the codec's field would allow 32 bits
 
-LOG = T.StructType(
-    [
-        T.StructField("user_key", T.BinaryType(), False),
-        T.StructField("seqno", T.LongType(), False),
-        T.StructField("value_type", T.IntegerType(), False),
-        T.StructField("value", T.BinaryType(), True),
-    ]
-)
-
-MANIFEST = T.StructType(
-    [
-        T.StructField("run_id", T.LongType(), False),
-        T.StructField("num_entries", T.LongType(), False),
-        T.StructField("min_seqno", T.LongType(), False),
-        T.StructField("max_seqno", T.LongType(), False),
-        T.StructField("first_key", T.BinaryType(), False),
-        T.StructField("last_key", T.BinaryType(), False),
-        T.StructField("file_size", T.LongType(), False),
-    ]
-)
-
-
 @dataclass(frozen=True)
 class RunOptions:
     """Layout of a sorted run. Fixed values of the format: 4 KiB blocks, a restart point every 16
-    entries, 10 filter bits a key (0 turns the filter off), 7 hashes."""
+    entries, 10 filter bits a key (0 turns the filter off), 7 hashes. Sorted files are cut at ``target_file_bytes``."""
 
     block_size: int = 4096
     restart_interval: int = 16
@@ -60,7 +37,6 @@ class EngineConfig:
 
     buffer_size_limit: int = 64 << 20
     compaction_threshold: int = 4
-    run_options: RunOptions = field(default_factory=RunOptions)
 
 
 def changelog(events: DataFrame) -> DataFrame:

@@ -12,6 +12,11 @@ log AS (
   SELECT DISTINCT unnest([printf('user_%06d', user_id), printf('user_%06d_absent', user_id)]) AS user_key FROM events
 ), dated AS (
   SELECT user_key, unnest([0, 1000, 5000, 9000])::BIGINT AS as_of FROM probes
+), damaged AS (
+  SELECT CASE WHEN seqno % 101 <> 0 THEN user_key END AS k, CASE WHEN seqno % 103 <> 0 THEN seqno ELSE 0 END AS s, CASE WHEN seqno % 107 <> 0 THEN value_type ELSE 7 END AS t,
+         CASE WHEN seqno % 11 = 0 THEN 'x' WHEN seqno % 109 <> 0 THEN value END AS v, seqno AS n FROM log
+), broken AS (
+  SELECT * FROM damaged UNION ALL SELECT * FROM damaged WHERE n % 211 = 0
 ), sized AS (
   SELECT *, (strlen(user_key) + coalesce(strlen(value), 0) + 15)::BIGINT AS encoded, (strlen(user_key) + coalesce(strlen(value), 0) + 73)::BIGINT AS buffered FROM log
 ), manifest AS (
@@ -78,7 +83,11 @@ _TEXT = {
     "encode_hex": "SELECT seqno, key_hex || value_hex AS entry, key_hex AS internal_key FROM entry",
     "decode_roundtrip": "SELECT user_key, seqno, value_type, coalesce(value, '') AS value, encoded::INTEGER AS used FROM sized",
     "value_type_codes": "SELECT (event_id % 4)::INTEGER AS code, CASE event_id % 4 WHEN 0 THEN 'put' WHEN 1 THEN 'delete' END AS name, count(*) AS n FROM events GROUP BY 1, 2",
-    "log_violations": "SELECT '' AS rule, 0::BIGINT AS n WHERE false",
+    "log_violations": """
+        SELECT * FROM (
+          SELECT unnest(['null key', 'seqno below 1', 'unknown value type', 'delete with a value', 'put without a value', 'repeated version']) AS rule,
+                 unnest([count(*) FILTER (k IS NULL), count(*) FILTER (s = 0), count(*) FILTER (t = 7), count(*) FILTER (t = 1 AND strlen(v) > 0), count(*) FILTER (t = 0 AND v IS NULL),
+                         (SELECT count(*) FROM (SELECT 1 FROM broken GROUP BY k, s HAVING count(*) > 1))]) AS n FROM broken) WHERE n > 0""",
     "entry_checksums": "SELECT seqno, sha256(unhex(key_hex || value_hex)) AS checksum FROM entry",
     "changed_runs": "SELECT DISTINCT run_id FROM log WHERE seqno = 100",
     "bloom_no_false_negatives": "SELECT run_id, count(DISTINCT user_key) AS n, 0::BIGINT AS missed FROM log GROUP BY run_id",
@@ -87,6 +96,38 @@ _TEXT = {
     "encrypted_sizes": "SELECT seqno, (strlen(value) + 28)::BIGINT AS stored_bytes FROM log WHERE value IS NOT NULL",
     "store_reopened_live": _LIVE,
     "store_compacted_detail": "SELECT p.user_key, CASE WHEN n.value_type = 0 THEN 'Found' ELSE 'NotFound' END AS status FROM probes p LEFT JOIN newest n USING (user_key)",
+    "store_point": f"{_LIVE} AND user_key = 'user_000003'",
+    "store_inspection": """
+        SELECT CASE seqno % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END::BIGINT AS run_id, count(*) AS num_entries, min(seqno) AS min_seqno, max(seqno) AS max_seqno,
+               min(user_key) AS first_key, max(user_key) AS last_key, true AS listed FROM log GROUP BY seqno % 4""",
+    "store_tiers_detail": """
+        SELECT p.user_key, CASE WHEN l.t IS NULL THEN CASE WHEN n.value_type = 0 THEN 'Found' ELSE 'NotFound' END WHEN l.t = 0 THEN 'Found' ELSE 'Deleted' END AS status
+        FROM probes p LEFT JOIN newest n USING (user_key) LEFT JOIN (SELECT user_key, arg_max(value_type, seqno) AS t FROM log WHERE seqno % 4 = 0 GROUP BY user_key) l USING (user_key)""",
+    "encrypted_store_live": _LIVE,
+    "encrypted_store_inner": "SELECT seqno, (strlen(value) + 28)::BIGINT AS stored_bytes, CASE WHEN value IS NOT NULL THEN false END AS readable FROM log",
+    "memory_store_live": _LIVE,
+    "engine_bulk_live": _LIVE,
+    "engine_snapshot_live": "SELECT user_key, seqno, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seqno DESC) AS r FROM log WHERE seqno <= 5000) WHERE r = 1 AND value_type = 0",
+    "engine_reopened_detail": "SELECT p.user_key, CASE n.value_type WHEN 0 THEN 'Found' WHEN 1 THEN 'Deleted' ELSE 'NotFound' END AS status, coalesce(n.seqno, 0) AS seqno, n.value FROM probes p LEFT JOIN newest n USING (user_key)",
+    "engine_single_writes": """
+        SELECT n_name AS user_key, CASE WHEN n_regionkey <> 0 THEN 'Found' ELSE 'gone' END AS status, CASE WHEN n_regionkey <> 0 THEN lower(n_name) END AS value FROM nation
+        UNION ALL SELECT n_name || '?', 'gone', NULL FROM nation""",
+    "engine_short_buffers": """
+        SELECT n_name AS name, CASE WHEN strlen(n_name) <= 6 THEN 'Found' ELSE 'BufferTooSmall' END AS status, strlen(n_name)::BIGINT AS length, CASE WHEN strlen(n_name) <= 6 THEN n_name ELSE '' END AS value FROM nation
+        UNION ALL SELECT 'NOWHERE', 'NotFound', 0, ''""",
+    "byte_files": """
+        SELECT place, number, number % 3 <> 0 AS there, CASE WHEN number % 3 <> 0 THEN strlen(n_name) + 1 ELSE 0 END::BIGINT AS size,
+               CASE WHEN number % 3 <> 0 THEN substr(n_name, 1, 4) || '<' || n_name ELSE '' END AS read, 1::BIGINT AS second_at
+        FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS number FROM nation), (SELECT unnest(['memory', 'folder']) AS place)""",
+    "sst_point_get": """
+        SELECT user_key, as_of, CASE value_type WHEN 0 THEN 'Found' WHEN 1 THEN 'Deleted' ELSE 'NotFound' END AS status, coalesce(seqno, 0) AS seqno, CASE WHEN value_type = 0 THEN value END AS value FROM (
+          SELECT d.user_key, d.as_of, l.seqno, l.value_type, l.value, row_number() OVER (PARTITION BY d.user_key, d.as_of ORDER BY l.seqno DESC NULLS LAST) AS r
+          FROM dated d LEFT JOIN log l ON l.user_key = d.user_key AND l.seqno <= d.as_of) WHERE r = 1""",
+    "sst_files": "SELECT run_id, num_entries AS entries, min_seqno, max_seqno, first_key, last_key FROM manifest",
+    "sst_roundtrip": "SELECT run_id, user_key, seqno, value_type, value FROM log",
+    "sst_open_refusals": """
+        SELECT run_id, damage, damage <> 'whole' AS refused FROM manifest,
+        (SELECT unnest(['whole', 'empty', 'short', 'cut at the end', 'longer', 'cut at the beginning', 'other kind', 'index changed']) AS damage)""",
     "stream_ingest_live": _LIVE,
     "windowed_activity": "SELECT date_trunc('hour', ts) AS window_start, count(*) FILTER (event_type <> 'error') AS puts, count(*) FILTER (event_type = 'error') AS deletes FROM events GROUP BY 1",
 }

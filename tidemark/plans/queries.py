@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import blockcodec, bloom, codec, crypto, integrity
-from ..model import RunOptions, changelog, value_type_name, violations
+from ..functions import blockcodec, bloom, codec, crypto, integrity, sortedfile
+from ..model import EngineConfig, RunOptions, changelog, value_type_name, violations
 from ..operators import blocks, buffer, compaction, numbering, reads
+from ..sources.encrypted import EncryptedStore
+from ..sources.files import FolderFiles, MemoryFiles
+from ..sources.memory import MemoryStore
 from ..sources.runs import RunStore, describe_runs
+from .engine import Engine, open_default
 
 RUN_ROWS, SNAPSHOT, FENCES = 2500, 5000, [2000, 6000]
 FLUSH_LIMIT = 4096
@@ -168,7 +172,16 @@ def value_type_codes(spark, sf):
 
 
 def log_violations(spark, sf):
-    return violations(log(spark, sf))
+    """A log in which every rule is broken in some rows."""
+    n = F.col("seqno")
+    broken = log(spark, sf).select(
+        F.when(n % 101 != 0, F.col("user_key")).alias("user_key"),
+        F.when(n % 103 != 0, n).otherwise(0).alias("seqno"),
+        F.when(n % 107 != 0, F.col("value_type")).otherwise(7).alias("value_type"),
+        F.when(n % 11 == 0, F.lit("x")).when(n % 109 != 0, F.col("value")).alias("value"),
+        n.alias("n"),
+    )
+    return violations(broken.unionByName(broken.where(F.col("n") % 211 == 0)).drop("n"))
 
 
 def _packed(spark, sf):
@@ -269,6 +282,178 @@ def store_compacted_detail(spark, sf):
     return reads.get_detail(store.read(), probes(spark, sf)).select("user_key", "status")
 
 
+def store_point(spark, sf):
+    """A key is read from the runs whose range holds it."""
+    return reads.live(_filled_store(spark, sf).read("user_000003"))
+
+
+def store_inspection(spark, sf):
+    """The manifest after reopening, made anew from the files."""
+    store = RunStore(spark, _filled_store(spark, sf).root, key_type="string")
+    rows = [(r.run_id, r.num_entries, r.min_seqno, r.max_seqno, r.first_key, r.last_key, r.run_id in store.file_ids()) for r in store.rebuild_manifest()]
+    return spark.createDataFrame(rows, "run_id long, num_entries long, min_seqno long, max_seqno long, first_key string, last_key string, listed boolean")
+
+
+def store_tiers_detail(spark, sf):
+    """Four similar runs are merged as a tier; with a fifth the newest versions are right."""
+    store = _filled_store(spark, sf)
+    store.compact_tier(4)
+    store.flush(log(spark, sf).where("seqno % 4 = 0").withColumn("seqno", F.col("seqno") + 1_000_000_000))
+    return reads.get_detail(store.read(), probes(spark, sf)).select("user_key", "status")
+
+
+def _binary(df: DataFrame) -> DataFrame:
+    return df.select(F.col("user_key").cast("binary").alias("user_key"), "seqno", "value_type", F.col("value").cast("binary").alias("value"))
+
+
+def _text(df: DataFrame) -> DataFrame:
+    return df.select(*[F.decode(c, "UTF-8").alias(c) if t == "binary" else F.col(c) for c, t in df.dtypes])
+
+
+def encrypted_store_live(spark, sf):
+    """Four encrypted runs, compacted, opened anew with the key."""
+    root, key = numbering.scratch(spark, "sealed-store"), crypto.EncryptionKey(TEST_KEY)
+    store, rows = EncryptedStore(RunStore(spark, root), key), _binary(log(spark, sf))
+    for i in range(4):
+        store.flush(rows.where(F.col("seqno") % 4 == i))
+    store.compact()
+    return _text(reads.live(EncryptedStore(RunStore(spark, root), key).read()))
+
+
+def encrypted_store_inner(spark, sf):
+    """What lies in the store: the sizes of the values are those of ciphertext."""
+    store = EncryptedStore(RunStore(spark, numbering.scratch(spark, "sealed-store")), crypto.EncryptionKey(TEST_KEY))
+    store.flush(_binary(log(spark, sf)))
+    stored = store.inner.read_run(1).join(store.read_run(1).select("seqno", F.col("value").alias("plain")), "seqno")
+    return stored.select("seqno", F.octet_length("value").cast("long").alias("stored_bytes"), (F.col("value") == F.col("plain")).alias("readable"))
+
+
+def memory_store_live(spark, sf):
+    store, rows = MemoryStore(spark, "string"), log(spark, sf)
+    for i in range(4):
+        store.flush(rows.where(F.col("seqno") % 4 == i))
+    store.compact(drop_tombstones=False)
+    return reads.live(store.read())
+
+
+def _written_engine(spark, sf, config: EngineConfig) -> Engine:
+    """An engine on a folder, with the events written in bulk in four parts of their order."""
+    db, rows = Engine(spark, RunStore(spark, numbering.scratch(spark, "engine"), key_type="string"), config), log(spark, sf).withColumnRenamed("seqno", "arrival")
+    n = rows.count()
+    for i in range(4):
+        db.write_all(rows.where(F.floor((F.col("arrival") - 1) * 4 / n) == i), ["arrival"])
+    return db
+
+
+def engine_bulk_live(spark, sf):
+    """The fourth run starts a compaction; seqnos are given in the order of arrival."""
+    db = _written_engine(spark, sf, EngineConfig())
+    if db.run_count() != 1:
+        raise RuntimeError("four runs were not compacted")
+    return db.live()
+
+
+def engine_snapshot_live(spark, sf):
+    return _written_engine(spark, sf, EngineConfig(compaction_threshold=100)).live(SNAPSHOT)
+
+
+def engine_reopened_detail(spark, sf):
+    db = _written_engine(spark, sf, EngineConfig(compaction_threshold=100))
+    db = Engine(spark, RunStore(spark, db.store.root, key_type="string"))
+    return _seqno(db.get_many(probes(spark, sf)))
+
+
+def engine_single_writes(spark, sf):
+    """Puts and deletes one by one (a row a nation), over flushes at 600 bytes and compactions; then each key's state."""
+    db = open_default(spark)
+    db.config = EngineConfig(buffer_size_limit=600)
+    names = spark.read.parquet(f"{sf}/nation.parquet").orderBy("n_nationkey").collect()
+    for r in names:
+        db.put(r.n_name.encode(), b"first")
+    for r in names:
+        db.put(r.n_name.encode(), r.n_name.lower().encode()) if r.n_regionkey else db.delete(r.n_name.encode())
+    keys = spark.read.parquet(f"{sf}/nation.parquet").select(F.explode(F.array(*[c.cast("binary") for c in (F.col("n_name"), F.concat("n_name", F.lit("?")))])).alias("user_key"))
+    out = db.get_many(keys).select("user_key", F.when(F.col("status") == "Found", "Found").otherwise("gone").alias("status"), "value")
+    return _text(out)
+
+
+def engine_short_buffers(spark, sf):
+    """A value is copied into a buffer of six bytes if it fits."""
+    db, out = open_default(spark), []
+    names = [r.n_name for r in spark.read.parquet(f"{sf}/nation.parquet").collect()]
+    for n in names:
+        db.put(n.encode(), n.encode())
+    for n in [*names, "NOWHERE"]:
+        buffer = bytearray(6)
+        status, length = db.get_into(n.encode(), buffer)
+        out.append((n, status, length, bytes(buffer[:length]).decode() if status == "Found" else ""))
+    return spark.createDataFrame(out, "name string, status string, length long, value string")
+
+
+def byte_files(spark, sf):
+    """A file a nation, in memory and in a folder: written in two parts, closed, read in parts; every third is deleted."""
+    names, out = [r.n_name for r in spark.read.parquet(f"{sf}/nation.parquet").orderBy("n_nationkey").collect()], []
+    for kind, files in (("memory", MemoryFiles()), ("folder", FolderFiles(spark, numbering.scratch(spark, "files")))):
+        for text in names:
+            n = files.create()
+            at = files.append(n, b"<") + files.append(n, text.encode())
+            files.sync(n)
+            files.close(n)
+            if n % 3 == 0:
+                files.delete(n)
+                out.append((kind, n, files.exists(n), 0, "", at))
+            else:
+                out.append((kind, n, files.exists(n), files.size(n), files.read_at(n, 1, 4).decode() + files.read_all(n).decode(), at))
+        if files.total_bytes() != sum(r[3] for r in out if r[0] == kind) or files.numbers() != [r[1] for r in out if r[0] == kind and r[2]]:
+            raise RuntimeError("the files are not what was written")
+    return spark.createDataFrame(out, "place string, number long, there boolean, size long, read string, second_at long")
+
+
+def sst_point_get(spark, sf):
+    """Probes as of four seqnos through sorted files: filter, index, block."""
+    files = sortedfile.build_files(runs(spark, sf), RunOptions(target_file_bytes=64 << 10))
+    got = sortedfile.point_get(files, dated_probes(spark, sf))
+    return _seqno(_text(got))
+
+
+def sst_files(spark, sf):
+    """Each file's entries and range, as its trailer and index say, by run."""
+    files = sortedfile.build_files(runs(spark, sf), RunOptions(target_file_bytes=64 << 10))
+    out = files.groupBy("run_id").agg(F.sum("entries").alias("entries"), F.min("min_seqno").alias("min_seqno"), F.max("max_seqno").alias("max_seqno"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
+    return _text(out)
+
+
+def sst_roundtrip(spark, sf):
+    return _text(sortedfile.read_files(sortedfile.build_files(runs(spark, sf))))
+
+
+def sst_open_refusals(spark, sf):
+    """Damaged copies of each run's first file, and whether opening refuses them."""
+    files = sortedfile.build_files(runs(spark, sf), RunOptions(target_file_bytes=64 << 10)).where("file_no = 0").select("run_id", "data")
+    n, tail = F.octet_length("data"), sortedfile.TRAILER_BYTES
+    cut = lambda a, b: F.substring(F.col("data"), F.lit(a) if isinstance(a, int) else a, F.lit(b) if isinstance(b, int) else b)
+    kinds = {
+        "whole": F.col("data"), "empty": F.unhex(F.lit("")), "short": cut(1, tail - 1), "cut at the end": cut(1, n - 1), "longer": F.concat("data", F.unhex(F.lit("00"))),
+        "cut at the beginning": cut(2, n), "other kind": F.concat(cut(1, n - 8), F.lit("unknown!").cast("binary")), "index changed": F.concat(cut(1, n - tail - 1), F.unhex(F.lit("A5A5")), cut(n - tail + 2, n)),
+    }
+    damaged = files.select("run_id", F.explode(F.array(*[F.struct(F.lit(k).alias("damage"), v.alias("data")) for k, v in kinds.items()])).alias("d")).select("run_id", "d.*")
+
+    def tried(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            refused = []
+            for data in b.column(2).to_pylist():
+                try:
+                    sortedfile.SortedFile(data)
+                    refused.append(False)
+                except sortedfile.DamagedFile:
+                    refused.append(True)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(refused, pa.bool_())], ["run_id", "damage", "refused"])
+
+    return damaged.mapInArrow(tried, "run_id long, damage string, refused boolean")
+
+
 def stream_ingest_live(spark, sf):
     """The events as a stream, batch by batch into a store; then the live state."""
     from ..streaming.ingest import ingest
@@ -294,6 +479,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         merge_with_snapshots, compaction_stats, run_manifest, l0_candidates, read_amplification, sorted_entries, global_order, seqno_assignment,
         restart_points, encode_hex, decode_roundtrip, value_type_codes, log_violations, block_packing, block_index, block_lookup, block_payloads, block_roundtrip,
         bloom_no_false_negatives, bloom_false_positives, entry_checksums, run_checksums, changed_runs, encrypt_roundtrip, tamper_detect,
-        encrypted_sizes, store_reopened_live, store_compacted_detail, stream_ingest_live, windowed_activity,
+        encrypted_sizes, store_reopened_live, store_compacted_detail, store_point, store_inspection, store_tiers_detail, encrypted_store_live,
+        encrypted_store_inner, memory_store_live, engine_bulk_live, engine_snapshot_live, engine_reopened_detail, engine_single_writes, engine_short_buffers,
+        byte_files, sst_point_get, sst_files, sst_roundtrip, sst_open_refusals, stream_ingest_live, windowed_activity,
     ]
     return {f.__name__: f for f in names}
