@@ -70,6 +70,17 @@ def test_every_stage_on_odd_and_empty_tables(spark, odd_documents, no_documents)
         assert stage(spark, no_documents, SF).count() == 0, name
 
 
+def test_work_tables_are_deleted(spark, tmp_path):
+    """What a whole run leaves in the shared folder is its result."""
+    import os
+
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base.removeprefix("file://")))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = set(os.listdir(base.removeprefix("file://"))) - before
+    assert len(left) == 1 and left.pop().startswith("pipeline-packing") and out.count() > 0
+
+
 def test_whole_pipeline_on_an_empty_table(spark, no_documents, tmp_path):
     read(spark, SF, "documents").limit(0).write.parquet(f"file://{tmp_path}/documents.parquet")
     read(spark, SF, "labels").limit(0).write.parquet(f"file://{tmp_path}/labels.parquet")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +22,32 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_area: ContextVar[str | None] = ContextVar("work_area", default=None)
+
+
+@contextmanager
+def work_area(spark: SparkSession, name: str) -> Iterator[None]:
+    """Work tables made inside lie in a folder of their own, which is deleted at the end: results must be
+    written elsewhere (``write_out``) before."""
+    path = shared_dir(spark, name)
+    token = _area.set(path)
+    try:
+        yield
+    finally:
+        _area.reset(token)
+        delete_folder(spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: under spark.checkpoint.dir, or, where that is
     unset and driver and executors are one process, under a temporary folder. On a cluster without
     the setting: RuntimeError, as executors would write to their own disks."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = _area.get() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
@@ -34,7 +57,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
+    return write_out(df, shared_dir(df.sparkSession, name))
+
+
+def write_out(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,8 @@ For scoring, a feature's vector is folded with the output weights into one numbe
 text costs one table look-up per feature and constant memory per chunk.
 
 Null, empty and blank texts have no feature and get the share of label 1 in training. Repeated
-rows get equal scores. Without training rows of both labels the score is that constant share.
+rows and ties get equal scores, an empty table an empty result; texts of any length are scored whole. The score's column gets
+another name if the table has one of that name. Without training rows of both labels the score is that constant share.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from .common import fold, fresh, label_share, labelled_sample, prior_shift, sigmoid, text_chunks
 
 _BLANK = bytes(32 if c in b" \t\n\x0b\x0c\r" else c for c in range(256))
-#: Bucket of a word that repeats the one before.
+#: Bucket of a word that repeats the one before; no other feature is put there.
 _REPEAT = 1
 
 
@@ -54,7 +55,9 @@ def _slots(h: np.ndarray, bits: int) -> np.ndarray:
     h = h * np.uint32(0x9E3779B1)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x85EBCA77)
-    return (h >> np.uint32(32 - bits)).astype(np.int32)
+    out = (h >> np.uint32(32 - bits)).astype(np.int32)
+    out[out == _REPEAT] = 0
+    return out
 
 
 def features(texts: list[str], cfg: QualityConfig) -> Iterator[tuple[np.ndarray, np.ndarray]]:
