@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, packing, quality, signature_join, toxicity
-from tidemark.llm.common import fresh, materialize, read
+from tidemark.llm.common import delete_folder, fresh, read, shared_dir, work_area, write_out
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The stages in turn. A stage's work tables, and its predecessor's result, are deleted once its own result is written."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = shared_dir(spark, f"pipeline-{name}")
+        with work_area(spark, f"pipeline-work-{name}"):
+            docs = write_out(stage(spark, docs, sf_dir), path)
+        if before is not None:
+            delete_folder(spark, before)
+        before = path
     return docs
