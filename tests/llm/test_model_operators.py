@@ -373,7 +373,7 @@ def test_join_of_edited_copies(spark):
     check_join(spark, docs, signature_join.JoinConfig(block=16, leaf=4))
 
 
-@pytest.mark.parametrize("cfg", [signature_join.JoinConfig(), signature_join.JoinConfig(block=16, leaf=4), signature_join.JoinConfig(exact=True, block=16)])
+@pytest.mark.parametrize("cfg", [signature_join.JoinConfig(), signature_join.JoinConfig(block=16, leaf=4), signature_join.JoinConfig(exact=True, block=16), signature_join.JoinConfig(block_shingles=900)])
 def test_join_returns_every_link(spark, cfg):
     rng, docs = random.Random(6), {}
     for g in range(3):  # groups of near copies: most links lie inside a component

@@ -62,6 +62,7 @@ class JoinConfig:
     leaf: int = 32
     block: int = 2048  # members of a block; a group that is no larger is one task
     largest_block: int = 8_192
+    block_shingles: int = 4_000_000  # of the sets of a block's members altogether
     hot_members: int = 5_000  # groups above it are joined by themselves
     max_hot_groups: int = 100_000  # that are broadcast for it
     max_broadcast_ids: int = 2_000_000  # of documents whose sets are verified
@@ -320,24 +321,27 @@ def _with_keys(records: DataFrame, keys: DataFrame, cfg: JoinConfig) -> DataFram
 
 
 def _groups(records: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """(key, digest, members) of the groups with two classes or more, from (key, digest) rows with repeats;
-    of groups with the same members one."""
+    """(key, digest, members, total) of the groups with two classes or more, from (key, digest, n) rows with repeats;
+    of groups with the same members one. ``total``: the shingles of all members."""
     h = F.xxhash64("digest")
     # most keys are in one class only: two numbers a key tell, summed up before they are moved
     seen = records.groupBy("key").agg(F.min(h).alias("x"), F.max(h).alias("y"), F.count(F.lit(1)).alias("members"))
     seen = materialize(seen.where("x <> y").select("key", "members"), "shared-keys")
-    records = _with_keys(records, seen, cfg).groupBy("key", "digest").agg(F.lit(1).alias("_one")).select("key", "digest")
+    records = _with_keys(records, seen, cfg).groupBy("key", "digest").agg(F.max("n").alias("n"))
     records = materialize(records, "records")
-    sized = records.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"))
-    kept = materialize(sized.groupBy("members", "x", "y").agg(F.min("key").alias("key")).select("key", "members"), "group-sizes")
-    return _with_keys(records, kept, cfg)
+    marks = (F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"))
+    sized = records.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"), *marks)
+    kept = sized.groupBy("members", "x", "y").agg(F.min("key").alias("key"), F.max("total").alias("total"))
+    return _with_keys(records, materialize(kept.select("key", "members", "total"), "group-sizes"), cfg).drop("n")
 
 
 def _cells(grouped: DataFrame, signatures: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """Members (key, digest, members) of groups with their signatures, dealt to cells (key, i, j):
-    a group of one block is one cell, a larger one a cell for each pair of its blocks."""
+    """Members (key, digest, members, total) of groups with their signatures, dealt to cells (key, i, j):
+    a group of one block is one cell, a larger one a cell for each pair of its blocks. Blocks are bounded by members
+    and, so that long sets fit, by shingles (about: members are dealt by hash)."""
     size = F.greatest(F.lit(cfg.block), F.least(F.lit(cfg.largest_block), F.ceil(F.col("members") / 16)))
-    blocks = F.ceil(F.col("members") / size).cast("int")
+    by_shingles = F.least(F.col("members"), F.ceil(F.col("total") / cfg.block_shingles))
+    blocks = F.greatest(F.ceil(F.col("members") / size), by_shingles).cast("int")
     return (
         grouped.join(signatures, "digest")
         .withColumn("block", F.pmod(F.xxhash64("digest"), blocks).cast("int"))
@@ -383,73 +387,91 @@ def _earlier(keys: pa.ChunkedArray, key: int) -> np.ndarray:
     return out
 
 
+def _slices(sizes: np.ndarray, most: int = 1 << 24) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with ``most`` bytes each (or one row), for record batches of bounded size."""
+    total = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+    begin = 0
+    while begin < len(sizes):
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] + most, side="right")) - 1)
+        yield begin, end
+        begin = end
+
+
 def _candidates(cells: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """(key, i, j, digest, partners) of each member of a cell with a candidate: all pairs that survive the dual
+    """(key, i, j, place, digest, partners) of each member of a cell with a candidate: all pairs that survive the dual
     traversal of the trees of blocks i and j and share no group with a smaller key, each in one member's partners
-    (digests end to end)."""
+    (a bitmap of places in the cell, without the zero bytes at its end). So a cell's pairs take a bit each."""
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        digests, side = t.column("digest").to_pylist(), t.column("block").to_numpy()
+        side, sizes = t.column("block").to_numpy(), t.column("n").to_numpy().astype(np.int64)
         key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
         before = _earlier(t.column("keys"), key)
-        sizes = t.column("n").to_numpy().astype(np.int64)
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        width = -(-len(sizes) // 8)
+        near, some = np.zeros(len(sizes) * width, np.uint8), np.zeros(len(sizes), bool)
         for x, y in survivors(t.column("bitmap").to_pylist(), sizes, None if i == j else side == j, cfg):
             for s in range(0, len(x), 1 << 16):
                 p, q = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
                 here = ~(before[p] & before[q]).any(axis=1)
-                left.append(p[here])
-                right.append(q[here])
-        p, q = np.concatenate(left), np.concatenate(right)
-        by = np.argsort(p, kind="stable")
-        p, q = p[by], q[by]
-        members = np.union1d(p, q)
-        lo, hi = np.searchsorted(p, members, side="left"), np.searchsorted(p, members, side="right")
-        partners = [b"".join([digests[x] for x in q[u:v].tolist()]) for u, v in zip(lo.tolist(), hi.tolist(), strict=True)]
-        n = len(members)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([key] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32())]
-            + [pa.array([digests[x] for x in members.tolist()], pa.binary()), pa.array(partners, pa.binary())],
-            ["key", "i", "j", "digest", "partners"],
-        )
+                p, q = p[here], q[here]
+                np.bitwise_or.at(near, p * width + (q >> 3), np.uint8(1) << (q & 7).astype(np.uint8))
+                some[p] = some[q] = True
+        at = np.flatnonzero(some)
+        digests = t.column("digest").combine_chunks()
+        for begin, end in _slices(np.full(len(at), width)):
+            places = at[begin:end]
+            partners = [near[x * width : (x + 1) * width].tobytes().rstrip(b"\0") for x in places.tolist()]
+            n = len(places)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()), pa.array(places, pa.int32())]
+                + [digests.take(pa.array(places)), pa.array(partners, pa.binary())],
+                ["key", "i", "j", "place", "digest", "partners"],
+            )
 
-    return _by_cell(cells, work, "key long, i int, j int, digest binary, partners binary")
+    return _by_cell(cells, work, "key long, i int, j int, place int, digest binary, partners binary")
 
 
 def _verified(candidates: DataFrame, sets: DataFrame, cfg: JoinConfig) -> DataFrame:
     """(digest, partners, links, root) of each member of a cell with a link by whole sets: its partners (each pair
-    at one member), its number of links in the cell, and one member of its component in the cell."""
+    at one member, their digests end to end), its number of links in the cell, and
+    one member of its component in the cell."""
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        digests = t.column("digest").to_pylist()
-        number = {d: k for k, d in enumerate(digests)}
+        digests, place = t.column("digest").to_pylist(), t.column("place").to_numpy()
+        row = np.zeros(int(place.max()) + 1, np.int64)
+        row[place] = np.arange(len(place))
         raw = [np.frombuffer(x, "<u8") for x in t.column("shingles").to_pylist()]
-        size = [len(x) for x in raw]
-        ids = np.split(np.unique(np.concatenate(raw), return_inverse=True)[1], np.cumsum(size)[:-1])
-        mark = np.zeros(1 + max(int(x.max()) for x in ids), bool)
+        size = np.array([len(x) for x in raw], np.int64)
+        ids = np.unique(np.concatenate(raw), return_inverse=True)[1].astype(np.int32)
+        mark = np.zeros(1 + int(ids.max()), bool)
+        ids = np.split(ids, np.cumsum(size)[:-1])
         label, links = np.arange(len(digests)), np.zeros(len(digests), np.int64)
         kept = []
-        for x, near in enumerate(t.column("partners").to_pylist()):
+        for x, bits in enumerate(t.column("partners").to_pylist()):
+            near = row[np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))]
             mark[ids[x]] = True
             mine = []
-            for y in [number[near[k : k + 16]] for k in range(0, len(near), 16)]:
-                common = int(np.count_nonzero(mark[ids[y]]))
-                if 100 * common >= cfg.threshold * (size[x] + size[y] - common):
-                    mine.append(y)
+            for begin, end in _slices(4 * size[near]):  # bounded memory
+                y = near[begin:end]
+                starts = np.cumsum(size[y]) - size[y]
+                common = np.add.reduceat(mark[np.concatenate([ids[k] for k in y.tolist()])], starts, dtype=np.int64)
+                mine.append(y[100 * common >= cfg.threshold * (size[x] + size[y] - common)])
             mark[ids[x]] = False
-            kept.append(b"".join([digests[y] for y in mine]))
-            if mine:
+            mine = np.concatenate(mine) if mine else near
+            kept.append(mine)
+            if len(mine):
                 links[x] += len(mine)
                 links[mine] += 1
-                roots = np.unique(label[[x, *mine]])
+                roots = np.unique(label[[x, *mine.tolist()]])
                 if len(roots) > 1:
                     label[np.isin(label, roots)] = roots[0]
-        some = np.flatnonzero(links).tolist()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([digests[x] for x in some], pa.binary()), pa.array([kept[x] for x in some], pa.binary())]
-            + [pa.array(links[some], pa.int64()), pa.array([digests[label[x]] for x in some], pa.binary())],
-            ["digest", "partners", "links", "root"],
-        )
+        some = np.flatnonzero(links)
+        for begin, end in _slices(np.array([16 * len(kept[x]) for x in some.tolist()], np.int64)):
+            part = some[begin:end].tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([digests[x] for x in part], pa.binary()), pa.array([b"".join([digests[y] for y in kept[x].tolist()]) for x in part], pa.binary())]
+                + [pa.array(links[part], pa.int64()), pa.array([digests[label[x]] for x in part], pa.binary())],
+                ["digest", "partners", "links", "root"],
+            )
 
     return _by_cell(candidates.join(sets, "digest"), work, "digest binary, partners binary, links long, root binary")
 
@@ -472,7 +494,7 @@ def links(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> Links:
     # classes of equal sets, each with its smallest id; bitmap and keys follow from the set and stand at its
     # first row in each task, so copies weigh little in what follows
     classes = materialize(all_docs.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id")), "classes")
-    records = all_docs.select("digest", F.explode("keys").alias("key"))
+    records = all_docs.select("digest", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     grouped = materialize(_groups(records, cfg), "groups")
     keys = grouped.groupBy("digest").agg(F.collect_list("key").alias("keys"))
     firsts = all_docs.where(F.col("bitmap").isNotNull()).select("digest", F.col("n_shingles").alias("n"), "bitmap")
