@@ -130,6 +130,22 @@ def test_runs_are_skipped_and_sorted(spark, tmp_path):
     assert keys == sorted(keys)
 
 
+def test_many_probes_skip_runs(spark, store):
+    db = Engine(spark, store, MANUAL)
+    for keys in ((b"a", b"b"), (b"k", b"m"), (b"y", b"z")):
+        for k in keys:
+            db.put(k, k * 2)
+        db.force_flush()
+    db.put(b"l", b"buffered")
+    assert {bytes(r.user_key) for r in store.read(within=(bytearray(b"b"), bytearray(b"k"))).collect()} == {b"b", b"k"}
+    assert store.read(within=(bytearray(b"c"), bytearray(b"j"))).isEmpty()
+    probes = spark.createDataFrame([(bytearray(k),) for k in (b"k", b"l", b"n")], "user_key binary")
+    assert {bytes(r.user_key): r.value and bytes(r.value) for r in db.get_many(probes).collect()} == {b"k": b"kk", b"l": b"buffered", b"n": None}
+    assert db.get_many(probes.limit(0)).isEmpty()
+    db.delete(b"k")  # the buffer is read anew after a write
+    assert {r.status for r in db.get_many(probes.limit(1)).collect()} == {"Deleted"}
+
+
 def test_two_writers_lose_nothing(spark, tmp_path):
     """Both open the same state; the second to commit finds its version taken, reads the new state and tries again."""
     root = f"file://{tmp_path}/s"

@@ -65,6 +65,19 @@ def test_dated_probes_in_spans(spark, span):
     assert got == want
 
 
+@pytest.mark.parametrize("span", [1, 7, 50, 1 << 20])
+def test_history_and_resurrection_in_spans(spark, span):
+    rows = random_log(10, 200, 4)
+    rows = [r for r in rows if not 60 < r[1] < 90]  # spans without a version
+    log, of = table(spark, rows), {}
+    for k, s, t, v in rows:
+        of.setdefault(k, []).append((s, t, v))
+    want = {(k, s): (len(vs) - i, vs[i + 1][0] if i + 1 < len(vs) else None) for k, vs in of.items() for i, (s, _, _) in enumerate(vs)}
+    assert {(r.user_key, r.seqno): (r.version, r.superseded_by) for r in reads.history(log, span).collect()} == want
+    again = {(k, b[0], b[2]) for k, vs in of.items() for a, b in zip(vs, vs[1:], strict=False) if a[1] == DELETE and b[1] == PUT}
+    assert again and {tuple(r) for r in reads.resurrected(log, span).collect()} == again
+
+
 def test_ghost_delete_and_empty_key(spark):
     log = table(spark, [("ghost", 1, DELETE, None), ("", 2, PUT, "")])
     probes = spark.createDataFrame([("ghost",), ("",), ("none",)], "user_key string")

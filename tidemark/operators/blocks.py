@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.codec import encoded_size
+from ..functions.names import fresh
 from ..model import RunOptions
+from .numbering import numbered
 
 #: Bytes of a restart offset, and of the counters and checksum that end a block.
 RESTART_BYTES, BLOCK_TAIL = 4, 24
 
 
 def sorted_position(log: DataFrame, run: str = "run_id") -> DataFrame:
-    """``log`` with position: 0, 1, 2, ... in each run, by key and newest first. A run is the unit
-    that one writer task makes."""
-    w = Window.partitionBy(run).orderBy("user_key", F.desc("seqno"))
-    return log.withColumn("position", (F.row_number().over(w) - 1).cast("long"))
+    """``log`` with position: 0, 1, 2, ... in each run, by key and newest first. One range sort numbers all
+    runs through, and each run's first number is taken off, so a run of any size is spread over tasks."""
+    n = fresh("row_number", log.columns)
+    rows = numbered(log, [run, "user_key", F.desc("seqno")], name=n)
+    firsts = rows.groupBy(run).agg(F.min(n).alias(f"{n}_first"))  # one row a run
+    return rows.join(F.broadcast(firsts), run).select(*log.columns, (F.col(n) - F.col(f"{n}_first")).alias("position"))
 
 
 def is_restart(position: Column, interval: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import fresh
@@ -22,7 +22,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def numbered(df: DataFrame, order: list[str], start: int = 0, name: str = "n") -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column], start: int = 0, name: str = "n") -> DataFrame:
     """``df`` with start, start + 1, ... in the order of columns ``order``.
 
     The sorted table is written once, its parts are counted, and each row gets its place in its part plus

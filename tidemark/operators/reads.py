@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..model import DELETE, PUT
 
 _VERSION = ("seqno", "value_type", "value")
+#: Seqnos that one task may see of a key, where the versions of a key are read in order.
+SPAN = 1 << 20
 FOUND, DELETED, NOT_FOUND = "Found", "Deleted", "NotFound"
 
 
@@ -51,7 +53,7 @@ def status(value_type: Column) -> Column:
     return F.when(value_type == PUT, FOUND).when(value_type == DELETE, DELETED).otherwise(NOT_FOUND)
 
 
-def get_at(log: DataFrame, probes: DataFrame, span: int = 1 << 20) -> DataFrame:
+def get_at(log: DataFrame, probes: DataFrame, span: int = SPAN) -> DataFrame:
     """As-of join: for each probe (user_key, as_of) the newest version with ``seqno <= as_of``.
 
     Probes and versions are merged into one stream ordered by version and the last version is carried to
@@ -76,16 +78,30 @@ def get_at(log: DataFrame, probes: DataFrame, span: int = 1 << 20) -> DataFrame:
     return found.select("user_key", F.col("_at").alias("as_of"), status(kind).alias("status"), F.col("_v.seqno").alias("seqno"), F.when(kind == PUT, F.col("_v.value")).alias("value"))
 
 
-def history(log: DataFrame) -> DataFrame:
-    """All versions of each key, numbered from the newest (1), with the seqno that ended each."""
-    w = Window.partitionBy("user_key").orderBy(F.desc("seqno"))
-    return log.select("*", F.row_number().over(w).cast("long").alias("version"), F.lag("seqno").over(w).alias("superseded_by"))
-
-
-def resurrected(log: DataFrame) -> DataFrame:
-    """Puts whose preceding version of the same key is a tombstone."""
-    w = Window.partitionBy("user_key").orderBy("seqno")
-    return log.withColumn("_before", F.lag("value_type").over(w)).where((F.col("_before") == DELETE) & (F.col("value_type") == PUT)).select("user_key", "seqno", "value")
+def history(log: DataFrame, span: int = SPAN) -> DataFrame:
+    """All versions of each key, numbered from the newest (1), with the seqno that ended each.
+
+    Versions are numbered in (key, ``span`` seqnos), so a hot key is spread over tasks; a span's rows go on from
+    the number of versions in the spans after it, and its newest version was ended by the oldest of those."""
+    rows = log.withColumn("_span", F.floor(F.col("seqno") / span))
+    inside = Window.partitionBy("user_key", "_span").orderBy(F.desc("seqno"))
+    after = Window.partitionBy("user_key").orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy("user_key", "_span").agg(F.count(F.lit(1)).alias("_n"), F.min("seqno").alias("_oldest"))
+    spans = spans.select("user_key", "_span", F.coalesce(F.sum("_n").over(after), F.lit(0)).alias("_newer"), F.min("_oldest").over(after).alias("_next"))
+    rows = rows.withColumn("_place", F.row_number().over(inside)).withColumn("_ended", F.lag("seqno").over(inside))
+    version, ended = (F.col("_newer") + F.col("_place")).alias("version"), F.coalesce("_ended", "_next").alias("superseded_by")
+    return rows.join(spans, ["user_key", "_span"]).select(*log.columns, version, ended)
+
+
+def resurrected(log: DataFrame, span: int = SPAN) -> DataFrame:
+    """Puts whose preceding version of the same key is a tombstone; read in spans as in ``history``."""
+    rows = log.withColumn("_span", F.floor(F.col("seqno") / span))
+    inside = Window.partitionBy("user_key", "_span").orderBy("seqno")
+    earlier = Window.partitionBy("user_key").orderBy("_span").rowsBetween(-1, -1)
+    spans = rows.groupBy("user_key", "_span").agg(F.max_by("value_type", "seqno").alias("_last"))
+    spans = spans.select("user_key", "_span", F.first("_last").over(earlier).alias("_last"))
+    rows = rows.withColumn("_before", F.lag("value_type").over(inside)).join(spans, ["user_key", "_span"])
+    return rows.where((F.coalesce("_before", "_last") == DELETE) & (F.col("value_type") == PUT)).select("user_key", "seqno", "value")
 
 
 def present(log: DataFrame, probes: DataFrame) -> DataFrame:

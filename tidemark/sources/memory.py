@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.compaction import merge
-from .runs import RunMeta
+from .runs import RunMeta, may_hold, restricted
 
 
 class MemoryStore:
@@ -83,14 +83,12 @@ class MemoryStore:
             raise FileNotFoundError(f"run {run_id}")
         return self._tables[run_id]
 
-    def read(self, key: object | None = None, as_of: int | None = None) -> DataFrame:
+    def read(self, key: object | None = None, as_of: int | None = None, within: tuple[object, object] | None = None) -> DataFrame:
         log = self.spark.createDataFrame([], self.schema)
         for r in self.runs():
-            if (key is None or r.first_key <= key <= r.last_key) and (as_of is None or r.min_seqno <= as_of):
+            if may_hold(r, key, as_of, within):
                 log = log.unionByName(self._tables[r.run_id])
-        if key is not None:
-            log = log.where(F.col("user_key") == F.lit(key))
-        return log if as_of is None else log.where(F.col("seqno") <= as_of)
+        return restricted(log, key, as_of, within)
 
     def file_count(self) -> int:
         return len(self._meta)

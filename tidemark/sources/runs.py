@@ -53,6 +53,22 @@ def describe_runs(log: DataFrame, run: str = "run_id") -> DataFrame:
     )
 
 
+def may_hold(run: RunMeta, key: object | None, as_of: int | None, within: tuple[object, object] | None) -> bool:
+    """Whether a run's ranges admit the key, the seqno limit and the range of keys (None: any)."""
+    first, last = within or (run.first_key, run.last_key)
+    inside = first <= run.last_key and run.first_key <= last
+    return inside and (key is None or run.first_key <= key <= run.last_key) and (as_of is None or run.min_seqno <= as_of)
+
+
+def restricted(log: DataFrame, key: object | None, as_of: int | None, within: tuple[object, object] | None) -> DataFrame:
+    """The rows of ``log`` for the key, the seqno limit and the range of keys (None: any)."""
+    if key is not None:
+        log = log.where(F.col("user_key") == F.lit(key))
+    if within is not None:
+        log = log.where(F.col("user_key").between(F.lit(within[0]), F.lit(within[1])))
+    return log if as_of is None else log.where(F.col("seqno") <= as_of)
+
+
 class RunStore:
     """A folder of runs. ``key_type`` is the Spark type of keys and values (binary or string)."""
 
@@ -260,14 +276,10 @@ class RunStore:
     def read_run(self, run_id: int) -> DataFrame:
         return self._read_runs([self._run(run_id)])
 
-    def read(self, key: object | None = None, as_of: int | None = None) -> DataFrame:
-        """The log over all runs, as of the manifest's newest version. With a key or a seqno limit, runs whose ranges exclude them are
-        not opened, and the predicates reach the scans of the others."""
-        runs = [r for r in self.runs() if (key is None or r.first_key <= key <= r.last_key) and (as_of is None or r.min_seqno <= as_of)]
-        log = self._read_runs(runs)
-        if key is not None:
-            log = log.where(F.col("user_key") == F.lit(key))
-        return log if as_of is None else log.where(F.col("seqno") <= as_of)
+    def read(self, key: object | None = None, as_of: int | None = None, within: tuple[object, object] | None = None) -> DataFrame:
+        """The log over all runs, as of the manifest's newest version. With a key, a range of keys (``within``: the first and the
+        last) or a seqno limit, runs whose ranges exclude them are not opened, and the predicates reach the scans of the others."""
+        return restricted(self._read_runs([r for r in self.runs() if may_hold(r, key, as_of, within)]), key, as_of, within)
 
     # --- inspection --------------------------------------------------------------------------
     def file_count(self) -> int:
