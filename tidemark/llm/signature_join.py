@@ -142,7 +142,7 @@ def sketches(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
             n, digests, maps, keys = [], [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), cfg, cache)
-                if len(cache) > 500_000:
+                if len(cache) > 50_000:  # hashing a word again costs little
                     cache.clear()
                 d = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                 m, k = sketch(s, cfg) if d is not None and d not in seen else (None, None)
