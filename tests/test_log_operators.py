@@ -171,6 +171,32 @@ def test_block_lookup(spark):
     assert log.agg(F.sum(encoded_size())).first()[0] + 24 * len(last) <= total
 
 
+def shuffled_rows(spark, name, work):
+    """What ``work`` returns, and the rows that its stages wrote to shuffles."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        out = work()
+    finally:
+        sc._jsc.clearJobGroup()
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup(name) for s in sc.statusTracker().getJobInfo(j).stageIds}
+    store = sc._jsc.sc().statusStore()
+    return out, sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+def test_block_lookup_over_many_runs_and_probes(spark):
+    """Every pair of a probe and a run is in the result, none of them in a shuffle."""
+    last = [(r, b, f"k{(b + 1) * 500 - 1 - r:05d}") for r in range(50) for b in range(6)] + [(0, 6, "k02999")]  # two blocks of run 0 end with one key
+    index = spark.createDataFrame(last, "run_id long, block_id long, last_key string")
+    probes = [f"k{i:05d}" for i in range(3100)]
+    given = spark.createDataFrame([(p,) for p in [*probes, probes[0], None]], "user_key string")
+    got, shuffled = shuffled_rows(spark, "many runs", lambda: blocks.find_block(index, given).collect())
+    ends = {r: [(k, b) for s, b, k in last if s == r] for r in range(50)}
+    want = sorted((r, p, min(b for k, b in ends[r] if k >= p)) for r in range(50) for p in probes if p <= ends[r][-1][0])
+    assert shuffled < len(want) / 4
+    assert sorted((r.run_id, r.user_key, r.block_id) for r in got) == want
+
+
 def test_numbering_is_dense(spark):
     df = spark.range(1000).withColumn("h", F.xxhash64("id")).repartition(7)
     got = numbering.numbered(df, ["h", "id"], start=5, name="n").orderBy("h").collect()

@@ -13,10 +13,12 @@ from pyspark.sql import types as T
 from ..functions.codec import encoded_size
 from ..functions.names import fresh
 from ..model import RunOptions
-from .numbering import numbered
+from .numbering import numbered, scratch
 
 #: Bytes of a restart offset, and of the counters and checksum that end a block.
 RESTART_BYTES, BLOCK_TAIL = 4, 24
+#: Probes are kept in lists of so many; runs are dealt to so many copies of the lists, at most one a run.
+SPAN_ITEMS, SPAN_DEALS = 1024, 32
 
 
 def sorted_position(log: DataFrame, run: str = "run_id") -> DataFrame:
@@ -100,11 +102,50 @@ def block_index(packed: DataFrame, opts: RunOptions = RunOptions(), run: str = "
 
 def find_block(index: DataFrame, probes: DataFrame, run: str = "run_id") -> DataFrame:
     """For each probe key and run: the first block whose last key is at or above it; keys beyond a
-    run's last key have no row. Probes are carried to the next index entry in one ordered pass."""
-    runs = index.select(run).distinct()  # one row a run
-    asked = probes.select("user_key").distinct().join(F.broadcast(runs)).select(run, F.col("user_key").alias("_key"), F.lit(0).alias("_entry"), F.lit(None).cast("long").alias("block_id"))
+    run's last key, and null keys, have no row. A block's probes are a span of the sorted probes (`in_spans`)."""
     # equal keys may end several blocks: the first of them counts, so entries are taken by their least id
-    ends = index.groupBy(run, F.col("last_key").alias("_key")).agg(F.min("block_id").alias("block_id")).withColumn("_entry", F.lit(1))
-    ahead = Window.partitionBy(run).orderBy("_key", "_entry").rowsBetween(0, Window.unboundedFollowing)
-    merged = asked.unionByName(ends).withColumn("block_id", F.first("block_id", ignorenulls=True).over(ahead))
-    return merged.where("_entry = 0 AND block_id IS NOT NULL").select(run, F.col("_key").alias("user_key"), "block_id")
+    ends = index.groupBy(run, "last_key").agg(F.min("block_id").alias("block_id"))
+    ends = ends.select(run, "block_id", F.col("last_key").alias("_key"), F.lit(2).alias("_side"))
+    items, placed = in_order(probes.select("user_key").distinct(), ends)
+    before = Window.partitionBy(run).orderBy("_key")
+    spans = placed.select(run, "block_id", F.coalesce(F.lag("_n").over(before), F.lit(0)).alias("_from"), F.col("_n").alias("_to"))
+    return in_spans(items, spans, run).select(run, "user_key", "block_id")
+
+
+def in_order(items: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``items`` (user_key and others) with their number _n from 0 in the order of all their columns, and ``points``
+    (_key, _side and others) with _n, the number of items below _key (_side 0) or at or below it (_side 2). Null keys are left out.
+
+    Items and points are sorted together and written once; the items of each part are counted, so no task sees more than its part."""
+    spark, names, others = items.sparkSession, items.columns, [c for c in points.columns if c not in ("_key", "_side")]
+    asked = items.where("user_key IS NOT NULL").select(F.col("user_key").alias("_key"), F.lit(1).alias("_side"), F.struct(*names).alias("_item"))
+    both = asked.unionByName(points.where("_key IS NOT NULL").select("_key", "_side", F.struct(*others).alias("_point")), allowMissingColumns=True)
+    marked = both.orderBy("_key", "_side", "_item", "_point").withColumn("_mark", F.monotonically_increasing_id())
+    path = scratch(spark, "in-order")
+    marked.write.parquet(path)
+    rows = spark.read.schema(marked.schema).parquet(path).withColumn("_part", F.shiftrightunsigned("_mark", 33))
+    is_item = (F.col("_side") == 1).cast("long")
+    offsets, total = [], 0
+    for part, n in sorted((r[0], r[1]) for r in rows.groupBy("_part").agg(F.sum(is_item)).collect()):  # one row a part
+        offsets.append((part, total))
+        total += n
+    so_far = F.sum(is_item).over(Window.partitionBy("_part").orderBy("_mark").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_n", so_far).join(F.broadcast(spark.createDataFrame(offsets, "_part long, _offset long")), "_part").withColumn("_n", F.col("_n") + F.col("_offset"))
+    return rows.where("_side = 1").select("_item.*", (F.col("_n") - 1).alias("_n")), rows.where("_side <> 1").select("_point.*", "_key", "_side", "_n")
+
+
+def in_spans(items: DataFrame, spans: DataFrame, run: str = "run_id") -> DataFrame:
+    """Each row of ``spans`` with each of the items numbered _from <= _n < _to. Items are kept in lists of SPAN_ITEMS, and spans meet lists, so what
+    is shuffled are items and spans, and pairs are made where they are used. Runs are dealt to SPAN_DEALS, each with lists of its own."""
+    names = [c for c in items.columns if c != "_n"]
+    deal = F.pmod(F.xxhash64(run), F.lit(SPAN_DEALS)).cast("int").alias("_deal")
+    spans = spans.where("_from < _to").select("*", deal)
+    first, last = F.floor(F.col("_from") / SPAN_ITEMS), F.floor((F.col("_to") - 1) / SPAN_ITEMS)
+    pieces = spans.select("*", F.explode(F.sequence(first, last)).alias("_list"))
+    lists = items.groupBy(F.floor(F.col("_n") / SPAN_ITEMS).alias("_list")).agg(F.array_sort(F.collect_list(F.struct("_n", F.struct(*names).alias("_item"))))["_item"].alias("_items"))
+    lists = lists.join(F.broadcast(spans.select("_deal").distinct()))
+    begin = F.greatest(F.col("_from") - F.col("_list") * SPAN_ITEMS, F.lit(0)).cast("int")
+    end = F.least(F.col("_to") - F.col("_list") * SPAN_ITEMS, F.lit(SPAN_ITEMS)).cast("int")
+    met = pieces.join(lists.hint("merge"), ["_deal", "_list"])
+    kept = [c for c in spans.columns if c not in ("_from", "_to", "_deal")]
+    return met.select(*kept, F.explode(F.slice("_items", begin + 1, end - begin)).alias("_item")).select(*kept, "_item.*")
