@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import sortedfile
 from tidemark.functions.codec import encoded_size
 from tidemark.model import DELETE, PUT, RunOptions, checked_value_type, value_type_name, violations
 from tidemark.operators import blocks, buffer, compaction, numbering, reads
@@ -197,6 +198,32 @@ def test_block_lookup_over_many_runs_and_probes(spark):
     assert sorted((r.run_id, r.user_key, r.block_id) for r in got) == want
 
 
+def test_point_get_asks_files_that_can_hold_the_version(spark):
+    """Forty runs with keys of their own, and one key that crosses the files of all; other files are not asked."""
+    rows = [(r, f"k{r:02d}_{i:03d}", r * 1000 + i + 1, PUT, f"v{r}.{i}") for r in range(40) for i in range(100)]
+    rows += [(r, "common", r * 1000 + 500 + i, PUT, f"c{r}.{i}") for r in range(40) for i in range(30)]
+    log = spark.createDataFrame(rows, "run_id long, user_key string, seqno long, value_type int, value string")
+    opts = RunOptions(block_size=400, restart_interval=4, target_file_bytes=1200)
+    whole = blocks.block_index(blocks.pack_blocks(log, opts), opts).select("run_id", "block_id", "block_offset")
+    assert blocks.pack_blocks(log, opts, offsets=True).select("run_id", "block_id", "block_offset").distinct().exceptAll(whole).isEmpty()
+    built = sortedfile.build_files(log, opts)
+    files = spark.createDataFrame(built.collect(), built.schema)
+    keys = sorted({r[1] for r in rows if r[0] % 3 == 0} | {f"k{r:02d}_{i:03d}x" for r in range(40) for i in range(0, 100, 9)})
+    asked = [(k.encode(), n) for k in keys for n in (0, 12050, None)]
+    probes = spark.createDataFrame([*asked, (None, 5)], "user_key binary, as_of long")
+    got, shuffled = shuffled_rows(spark, "many files", lambda: sortedfile.point_get(files, probes).collect())
+    assert shuffled < len(asked) * 20  # half of a row for each run and probe
+    versions = {}
+    for _, k, s, _, v in sorted(rows, key=lambda r: r[2]):
+        versions.setdefault(k.encode(), []).append((s, v.encode()))
+    want = {(k, n): next(((s, v) for s, v in reversed(versions.get(k, [])) if n is None or s <= n), (None, None)) for k, n in asked} | {(None, 5): (None, None)}
+    assert {(r.user_key and bytes(r.user_key), r.as_of): (r.seqno, r.value and bytes(r.value)) for r in got} == want and len(got) == len(want)
+    ranges = [(r.run_id, r.file_no, bytes(r.first_key), bytes(r.last_key), r.min_seqno) for r in files.collect()]
+    pairs = {(r, f, k, n) for r, f, a, b, s in ranges for k, n in asked if a <= k <= b and (n is None or s <= n)}
+    found = [(r.run_id, r.file_no, bytes(r.user_key), r.as_of) for r in sortedfile.candidates(files, probes).collect()]
+    assert set(found) == pairs and len(found) == len(pairs)
+
+
 def test_numbering_is_dense(spark):
     df = spark.range(1000).withColumn("h", F.xxhash64("id")).repartition(7)
     got = numbering.numbered(df, ["h", "id"], start=5, name="n").orderBy("h").collect()

@@ -27,12 +27,13 @@ def _number(value: Column) -> Column:
     return F.unhex(F.lpad(F.hex(value.cast("long")), 8, "0"))
 
 
-def block_payloads(packed: DataFrame, opts: RunOptions = RunOptions(), run: str = "run_id") -> DataFrame:
+def block_payloads(packed: DataFrame, opts: RunOptions = RunOptions(), run: str = "run_id", also: tuple[str, ...] = ()) -> DataFrame:
     """(run, block_id, entries, payload): the bytes of each block without its checksum, from rows with
-    block_id and slot. Blocks are bounded by ``block_size`` (or one entry), so groups are small."""
+    block_id and slot. Blocks are bounded by ``block_size`` (or one entry), so groups are small. Columns ``also``
+    have one value in a block and are kept."""
     none = F.unhex(F.lit(""))
     rows = F.array_sort(F.collect_list(F.struct("slot", encode_entry().alias("e"))))
-    blocks = packed.groupBy(run, "block_id").agg(F.count(F.lit(1)).alias("entries"), rows.alias("rows"))
+    blocks = packed.groupBy(run, "block_id", *also).agg(F.count(F.lit(1)).alias("entries"), rows.alias("rows"))
     start = F.struct(none.alias("bytes"), none.alias("restarts"))
 
     def add(acc: Column, row: Column) -> Column:
@@ -41,23 +42,24 @@ def block_payloads(packed: DataFrame, opts: RunOptions = RunOptions(), run: str
 
     blocks = blocks.withColumn("b", F.aggregate("rows", start, add))
     tail = F.concat(_number(F.octet_length(F.col("b.restarts")) / 4), _number(F.col("entries")))
-    return blocks.select(run, "block_id", "entries", F.concat("b.bytes", "b.restarts", tail).alias("payload"))
+    return blocks.select(run, "block_id", *also, "entries", F.concat("b.bytes", "b.restarts", tail).alias("payload"))
 
 
 def checksum(data: bytes) -> bytes:
     return xxhash.xxh3_128_digest(data)
 
 
-def seal_blocks(payloads: DataFrame, run: str = "run_id") -> DataFrame:
-    """(run, block_id, block): payloads with their checksums."""
+def seal_blocks(payloads: DataFrame, run: str = "run_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """(run, block_id, block) and columns ``also``: payloads with their checksums."""
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sealed = [p + checksum(p) for p in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sealed, pa.binary())], [run, "block_id", "block"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sealed, pa.binary()), *b.columns[3:]], [run, "block_id", "block", *also])
 
-    kind = payloads.schema[run].dataType.simpleString()
-    return payloads.select(run, "block_id", "payload").mapInArrow(run_, f"{run} {kind}, block_id long, block binary")
+    kinds = {c: payloads.schema[c].dataType.simpleString() for c in (run, *also)}
+    kept = "".join(f", {c} {kinds[c]}" for c in also)
+    return payloads.select(run, "block_id", "payload", *also).mapInArrow(run_, f"{run} {kinds[run]}, block_id long, block binary{kept}")
 
 
 def parse_block(block: bytes) -> tuple[list[tuple[bytes, int, int, bytes]], list[int]]:

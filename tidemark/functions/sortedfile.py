@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DELETE, PUT, RunOptions
-from ..operators.blocks import block_index, find_block, pack_blocks
+from ..operators.blocks import in_order, in_spans, pack_blocks
 from ..operators.reads import DELETED, FOUND, NOT_FOUND
 from .blockcodec import block_payloads, checksum, parse_block, seal_blocks, search_block
 from .bloom import build, may_contain
@@ -97,8 +97,14 @@ class SortedFile:
 
     def get(self, key: bytes, limit: int = LATEST) -> tuple[int, int, bytes] | None:
         """(seqno, value_type, value) of the newest version of the key at or below ``limit``."""
-        if not self.may_contain(key):
-            return None
+        return self._search(key, limit) if self.may_contain(key) else None
+
+    def get_many(self, keys: list[bytes], limits: list[int]) -> list[tuple[int, int, bytes] | None]:
+        """What `get` returns for each key and limit; the filter is asked for all keys at once."""
+        maybe = may_contain(keys, self.filter_bits, self._filter) if self.filter_bits else [True] * len(keys)
+        return [self._search(k, n) if m else None for k, n, m in zip(keys, limits, maybe, strict=True)]
+
+    def _search(self, key: bytes, limit: int) -> tuple[int, int, bytes] | None:
         i = bisect_left(self._ends, (key, -limit))  # the first block that ends at or after the version
         return search_block(self.block(i), key, limit) if i < len(self.index) else None
 
@@ -109,9 +115,9 @@ class SortedFile:
 
 def build_files(log: DataFrame, opts: RunOptions = RunOptions(), run: str = "run_id") -> DataFrame:
     """(run, file_no, entries, min_seqno, max_seqno, first_key, last_key, data): the files of each run."""
-    packed = pack_blocks(log.withColumn("user_key", F.col("user_key").cast("binary")).withColumn("value", F.col("value").cast("binary")), opts, run)
-    place = block_index(packed, opts, run).select(run, "block_id", F.floor(F.col("block_offset") / opts.target_file_bytes).cast("long").alias("file_no"))
-    blocks = seal_blocks(block_payloads(packed, opts, run), run).join(place, [run, "block_id"])
+    packed = pack_blocks(log.withColumn("user_key", F.col("user_key").cast("binary")).withColumn("value", F.col("value").cast("binary")), opts, run, offsets=True)
+    packed = packed.withColumn("file_no", F.floor(F.col("block_offset") / opts.target_file_bytes).cast("long"))
+    blocks = seal_blocks(block_payloads(packed, opts, run, ("file_no",)), run, ("file_no",))
     kind = log.schema[run].dataType.simpleString()
 
     def make(table: pa.Table) -> pa.Table:
@@ -144,20 +150,25 @@ def read_files(files: DataFrame, run: str = "run_id") -> DataFrame:
     return files.select(run, "data").mapInArrow(read, f"{run} {kind}, user_key binary, seqno long, value_type int, value binary")
 
 
+def candidates(files: DataFrame, probes: DataFrame, run: str = "run_id") -> DataFrame:
+    """(run, file_no, user_key, as_of): the files that can hold a probe's version. Their range of keys has the key, and their least
+    seqno is not above as_of; a key may cross several files of a run."""
+    at = lambda key, side: files.select(run, "file_no", "min_seqno", F.col(key).alias("_key"), F.lit(side).alias("_side"))
+    items, placed = in_order(probes, at("first_key", 0).unionByName(at("last_key", 2)))
+    bounds = placed.groupBy(run, "file_no", "min_seqno").agg(F.min("_n").alias("_from"), F.max("_n").alias("_to"))
+    found = in_spans(items, bounds, run)
+    return found.where("as_of IS NULL OR as_of >= min_seqno").select(run, "file_no", "user_key", "as_of")
+
+
 def point_get(files: DataFrame, probes: DataFrame, run: str = "run_id") -> DataFrame:
     """(user_key, as_of, status, seqno, value) of each probe (user_key, as_of long) through filter, index and block of the files that can
-    hold it. Files are found in one ordered pass a run; a file and its probes meet in one group."""
+    hold it. A file and its probes meet in one group. ``files`` are read twice, so they should be stored."""
     probes = probes.select(F.col("user_key").cast("binary").alias("user_key"), "as_of").distinct()
-    meta = files.select(run, F.col("file_no").alias("block_id"), "first_key", "last_key")
-    first = find_block(meta, probes, run)  # the first file of a run that ends at or after the key
-    further = meta.select(run, "block_id", F.col("first_key").alias("user_key")).join(probes.select("user_key").distinct(), "user_key", "left_semi")
-    at = first.unionByName(further.select(*first.columns)).distinct().withColumnRenamed("block_id", "file_no")
-    asked = at.join(probes, "user_key").select(F.col(run).alias("at_run"), F.col("file_no").alias("at_file"), "user_key", "as_of")
+    asked = candidates(files, probes, run).select(F.col(run).alias("at_run"), F.col("file_no").alias("at_file"), "user_key", "as_of")
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
-        f = SortedFile(left.column("data")[0].as_py()) if left.num_rows and right.num_rows else None
         keys, limits = right.column("user_key").to_pylist(), right.column("as_of").to_pylist()
-        found = [f.get(k, LATEST if n is None else n) if f and (n is None or n > 0) else None for k, n in zip(keys, limits, strict=True)]
+        found = SortedFile(left.column("data")[0].as_py()).get_many(keys, [LATEST if n is None else n for n in limits]) if keys else []
         hit = [i for i, x in enumerate(found) if x]
         out = {"user_key": pa.array([keys[i] for i in hit], pa.binary()), "as_of": pa.array([limits[i] for i in hit], pa.int64())}
         out |= {"seqno": pa.array([found[i][0] for i in hit], pa.int64()), "value_type": pa.array([found[i][1] for i in hit], pa.int32())}

@@ -63,30 +63,36 @@ def pack_sizes(sizes: np.ndarray, opts: RunOptions, state: tuple[int, int] = (0,
     return opens, (held, count)
 
 
-def pack_blocks(log: DataFrame, opts: RunOptions = RunOptions(), run: str = "run_id") -> DataFrame:
+def pack_blocks(log: DataFrame, opts: RunOptions = RunOptions(), run: str = "run_id", offsets: bool = False) -> DataFrame:
     """``log`` with block_id (in its run) and slot (in its block), cut as a writer of the format
-    would: a block is closed when the next entry would take it over ``block_size``."""
+    would: a block is closed when the next entry would take it over ``block_size``. With ``offsets``
+    also block_offset, the bytes of the run's blocks before."""
     rows = log.withColumn("_size", encoded_size().cast("long")).repartition(F.col(run)).sortWithinPartitions(run, "user_key", F.desc("seqno"))
-    schema = T.StructType([*log.schema.fields, T.StructField("block_id", T.LongType()), T.StructField("slot", T.LongType())])
+    added = ["block_id", "slot", "block_offset"][: 3 if offsets else 2]
+    schema = T.StructType([*log.schema.fields, *[T.StructField(c, T.LongType()) for c in added]])
     at, n = rows.columns.index(run), len(log.columns)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state, block, slot = None, (0, 0), -1, 0
+        current, state, block, slot, begin, held, restarts = None, (0, 0), -1, 0, 0, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             names, sizes = batch.column(at).to_pylist(), batch.column(n).to_numpy()
             cuts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
-            ids, slots = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+            ids, slots, begins = (np.zeros(len(names), np.int64) for _ in range(3))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if current is None or names[a] != current[0]:
-                    current, state, block, slot = (names[a],), (0, 0), -1, 0
+                    current, state, block, slot, begin, held, restarts = (names[a],), (0, 0), -1, 0, 0, 0, 0
                 opens, state = pack_sizes(sizes[a:b], opts, state)
                 ids[a:b] = block + np.cumsum(opens)
                 first = np.maximum.accumulate(np.where(opens, np.arange(b - a), -1))
                 slots[a:b] = np.where(first >= 0, np.arange(b - a) - first, np.arange(b - a) + slot)
-                block, slot = int(ids[b - 1]), int(slots[b - 1]) + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(ids), pa.array(slots)], [*batch.schema.names[:n], "block_id", "slot"])
+                # where a block would begin at each entry: after the entries, restart points and tails before it
+                size, restart = sizes[a:b].astype(np.int64), slots[a:b] % opts.restart_interval == 0
+                at_entry = held + np.cumsum(size) - size + RESTART_BYTES * (restarts + np.cumsum(restart) - restart) + BLOCK_TAIL * ids[a:b]
+                begins[a:b] = np.where(first >= 0, at_entry[np.maximum(first, 0)], begin)
+                block, slot, begin, held, restarts = int(ids[b - 1]), int(slots[b - 1]) + 1, int(begins[b - 1]), held + int(size.sum()), restarts + int(restart.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *map(pa.array, (ids, slots, begins)[: len(added)])], [*batch.schema.names[:n], *added])
 
     return rows.mapInArrow(pack, schema)
 

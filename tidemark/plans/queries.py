@@ -411,7 +411,9 @@ def byte_files(spark, sf):
 
 def sst_point_get(spark, sf):
     """Probes as of four seqnos through sorted files: filter, index, block."""
-    files = sortedfile.build_files(runs(spark, sf), RunOptions(target_file_bytes=64 << 10))
+    path, files = numbering.scratch(spark, "sorted-files"), sortedfile.build_files(runs(spark, sf), RunOptions(target_file_bytes=64 << 10))
+    files.write.parquet(path)
+    files = spark.read.schema(files.schema).parquet(path)
     got = sortedfile.point_get(files, dated_probes(spark, sf))
     return _seqno(_text(got))
 
